@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, ngram_jaccard, quality_rules, url_filters
+from . import best_fit_packing, byte_bpe, language_id, line_dedup, ngram_jaccard, quality_rules, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op4_url_filters": url_filters.op4_url_filters,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_ngram_jaccard": ngram_jaccard.op6_ngram_jaccard,
         "op8_best_fit_packing": best_fit_packing.op8_best_fit_packing,
+        "op9_language_id": language_id.op9_language_id,
+        "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
 
