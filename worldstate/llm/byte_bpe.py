@@ -21,7 +21,6 @@ import base64
 import heapq
 import json
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -155,7 +154,8 @@ def encode(df: DataFrame, path: str, text: str = "text", known: int = KNOWN) ->
         look_up = lambda w: F.try_element_at(F.get(table, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), w)
         return F.flatten(F.transform(words(F.col(text)), lambda w: F.coalesce(look_up(w), fold(w, pairs, single))))
 
-    usual = df.where(~odd).withColumn("ids", reduce(lambda body, value: lambda *seen: common.let(value, lambda x: body(x, *seen)), [byte_ranks, pair_table(ranks), found], of)())
+    ids = common.let(found, lambda t: common.let(pair_table(ranks), lambda p: common.let(byte_ranks, lambda b: of(t, p, b))))
+    usual = df.where(~odd).withColumn("ids", ids)
 
     @F.pandas_udf("array<int>")
     def by_heap(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -104,7 +104,7 @@ _LIST = ", ".join(f"'{w}'" for w in [*STOP_WORDS, *(w.capitalize() for w in STOP
 SQL = rf"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), places AS (
   SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w
@@ -116,7 +116,7 @@ WITH w AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(words, x -> x IN ({_LIST})))::BIGINT AS n_stop_words
+    len(list_filter(words, lambda x: x IN ({_LIST})))::BIGINT AS n_stop_words
   FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id
 )
 SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
