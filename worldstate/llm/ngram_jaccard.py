@@ -80,6 +80,8 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int, most: int = MOST
             tokens, docs, sizes, ks = [], [], [], []
             for doc, s in zip(batch["doc"], batch["s"], strict=True):
                 n = len(s)
+                if not n:
+                    continue
                 h = np.asarray(s, dtype=np.int64)
                 w = weights[h & (BUCKETS - 1)]
                 # a bucket's surplus over the usual one estimates how many partners its shingle brings
@@ -115,7 +117,7 @@ def join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", t
     members = common.stored(classes(known, id_col, text, n), "classes")
     reps = members.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct()
     texts = known.select(F.col(id_col).alias("doc"), F.col(text).alias("t"))
-    sets = texts.select("doc", shingles(F.col("t"), n).alias("s")).where("size(s) > 0")
+    sets = texts.select("doc", shingles(F.col("t"), n).alias("s"))
 
     postings = common.stored(prefixes(sets, bucket_counts(sets), percent), "postings")
     tokens = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("doc", "n")).alias("hub")).where("c > 1").drop("c")

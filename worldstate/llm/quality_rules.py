@@ -62,38 +62,56 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x))
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measures to df."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words"]
+
+
+def _measures(whole: Column, words: Column, lines: Column) -> Column:
     stop = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
-    split = df.withColumns({"_words": F.filter(F.split(whole, common.GAP), lambda w: w != ""), "_lines": F.filter(F.split(whole, "\n"), lambda x: x.rlike(common.WORD))})
     found = {
-        "n_words": F.size("_words"),
-        "word_chars": F.length(F.array_join("_words", "")),
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
         "n_symbols": F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", "")),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": _repeat_words(F.col("_words")),
-        "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stop))),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": _repeat_words(words),
+        "n_stop_words": F.size(F.filter(words, lambda w: w.isin(stop))),
     }
-    return split.withColumns({k: v.cast("long") for k, v in found.items()}).drop("_words", "_lines")
+    return F.struct(*(found[k].cast("long").alias(k) for k in MEASURES))
 
 
-def compile_rules(thresholds: list[tuple]) -> Column:
-    """One boolean: no rule of the table rejects."""
+def compile_rules(thresholds: list[tuple], m: Column) -> Column:
+    """One boolean over a struct of measures: no rule of the table rejects."""
     passed = F.lit(True)
     for _, part, whole, least, most in thresholds:
         if least is not None:
-            passed &= F.col(part) * 100 >= F.col(whole) * least
+            passed &= m[part] * 100 >= m[whole] * least
         if most is not None:
-            passed &= F.col(part) * 100 <= F.col(whole) * most
+            passed &= m[part] * 100 <= m[whole] * most
     return passed
 
 
+def verdict(text: Column, thresholds: list[tuple] = THRESHOLDS, least_words: int = 50) -> Column:
+    """A struct of the measures, base_failed and kept.
+
+    It is one expression in which each intermediate result is bound once: a filter on it that Spark pushes
+    down copies it as a whole, and never a word list into a loop over words.
+    """
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < least_words) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
+        return F.struct(*(m[k].alias(k) for k in MEASURES), failed.alias("base_failed"), (~failed & compile_rules(thresholds, m)).alias("kept"))
+
+    def measured(t: Column) -> Column:
+        words, lines = F.filter(F.split(t, common.GAP), lambda w: w != ""), F.filter(F.split(t, "\n"), lambda x: x.rlike(common.WORD))
+        return common.let(words, lambda w: common.let(lines, lambda x: common.let(_measures(t, w, x), judged)))
+
+    return common.let(F.coalesce(text, F.lit("")), measured)
+
+
 def judge(df: DataFrame, thresholds: list[tuple] = THRESHOLDS, text: str = "text", least_words: int = 50) -> DataFrame:
     """Adds the measures, base_failed and kept to df."""
-    failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return measures(df, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(thresholds))
+    found = df.withColumn("_found", verdict(F.col(text), thresholds, least_words))
+    return found.withColumns({k: F.col("_found")[k] for k in [*MEASURES, "base_failed", "kept"]}).drop("_found")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
