@@ -17,18 +17,18 @@ on; an empty table gives no rows; columns named as the results are replaced, oth
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-PER_LANGUAGE = 2500
+PER_LANGUAGE = 1000
 ROUNDS = 2
 #: Added to each piece's expected count; the probability of a letter that no piece holds; words a task remembers.
 SMOOTH, UNKNOWN, KNOWN = 0.05, 1e-7, 500_000
@@ -77,20 +77,37 @@ def edges(word: str, table: dict, starts: set[str]) -> list[list[tuple[int, obje
     return into
 
 
-def log_probability(word: str, table: dict[str, list[float]], starts: set[str], n: int) -> list[float]:
-    """log P(word) under each of n languages: the sum over all segmentations."""
-    out = [0.0] * n
-    none = [UNKNOWN] * n
-    for part in stretches(word):
-        into = edges(part, table, starts)
-        alpha = [[1.0] * n]
-        for j in range(1, len(part) + 1):
-            now = [0.0] * n
-            for i, p in into[j]:
-                now = [x + a * b for x, a, b in zip(now, alpha[i], p or none)]  # noqa: B905
+class Forward:
+    """log P(word) under each language, for many words at a time: the sum over all segmentations."""
+
+    def __init__(self, table: dict[str, list[float]], n: int) -> None:
+        self.n, self.number = n, {p: k for k, p in enumerate(table)}
+        # behind the pieces: a letter that no piece holds, and no edge at all
+        self.rows = np.array([*table.values(), [UNKNOWN] * n, [0.0] * n])
+        self.longest = max(map(len, table), default=1)
+
+    def same_length(self, words: list[str]) -> np.ndarray:
+        none, letter, find = len(self.rows) - 1, len(self.rows) - 2, self.number.get
+        alpha = [np.ones((len(words), self.n))]
+        for j in range(1, len(words[0]) + 1):
+            now = alpha[j - 1] * self.rows[[find(w[j - 1 : j], letter) for w in words]]
+            for i in range(max(0, j - self.longest), j - 1):
+                ids = np.array([find(w[i:j], none) for w in words])
+                there = np.flatnonzero(ids != none)
+                if len(there):
+                    now[there] += alpha[i][there] * self.rows[ids[there]]
             alpha.append(now)
-        out = [x + math.log(max(a, 1e-300)) for x, a in zip(out, alpha[-1], strict=True)]
-    return out
+        return np.log(np.maximum(alpha[-1], 1e-300))
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.n))
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for k, word in enumerate(words):
+            for part in stretches(word):
+                by_length.setdefault(len(part), []).append((k, part))
+        for parts in by_length.values():
+            np.add.at(out, [k for k, _ in parts], self.same_length([x for _, x in parts]))
+        return out
 
 
 def expected(word: str, table: dict[str, float], starts: set[str]) -> dict[str, float]:
@@ -166,25 +183,32 @@ def predict(df: DataFrame, model: dict[str, dict[str, float]], text: str = "text
     @F.pandas_udf("lang_pred string, score double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names, found = shared.value
-        n, starts, known = len(names), prefixes(list(found)), {}
-        for batch in texts:
+        forward = Forward(found, len(names)) if names else None
+        known: dict[str, int] = {}
+        logs = np.zeros((0, len(names)))
+
+        def some(whole: list[str | None]) -> list[tuple[str, float]]:
+            nonlocal logs
+            words = [words_of(x) if names else [] for x in whole]
+            if len(known) > KNOWN:
+                known.clear()
+                logs = logs[:0]
+            if new := list(set().union(*words).difference(known)):
+                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                logs = np.concatenate([logs, forward(new)])
             rows = []
-            for whole in batch:
-                words = words_of(whole) if n else []
-                if not words:
+            for own in words:
+                if own:
+                    total = logs[[known[w] for w in own]].sum(axis=0)
+                    best = int(total.argmax())
+                    rows.append((names[best], float(1 / np.exp(total - total[best]).sum())))
+                else:
                     rows.append(("und", 0.0))
-                    continue
-                total = [0.0] * n
-                for word, times in Counter(words).items():
-                    logs = known.get(word)
-                    if logs is None:
-                        logs = log_probability(word, found, starts, n)
-                        if len(known) < KNOWN:
-                            known[word] = logs
-                    total = [a + times * b for a, b in zip(total, logs)]  # noqa: B905
-                best = max(total)
-                rows.append((names[total.index(best)], 1 / sum(math.exp(x - best) for x in total)))
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+            return rows
+
+        for batch in texts:
+            whole = batch.tolist()
+            yield pd.DataFrame([r for at in range(0, len(whole), 500) for r in some(whole[at : at + 500])], columns=["lang_pred", "score"])
 
     out = df.drop("lang_pred", "score").withColumn("_found", score(text))
     return out.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")

@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct word n-grams (fewer wor
 none: the empty set, linked with nothing). Two documents link when 100 * |x & y| >= percent * |x | y|.
 
 1. Equal sets become one class, whose representative is its least id; only representatives are joined.
-2. Shingles get a global order, rarest first, by counts of all shingles in 2**20 hash buckets (4 MB, whatever
+2. Shingles get a global order, rarest first, by counts of all shingles in 2**17 hash buckets (1 MB, whatever
    the corpus size). In that order, linked sets share at least k of their first n - ceil(n * percent / 100) + k
    shingles, for every k. Each document takes the k from 1 to `most` with the least estimated cost: the
    longer prefix has more postings, and more of its tokens must meet before a pair is verified.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common, links
 
-BUCKETS = 1 << 20
+BUCKETS = 1 << 17
 #: The longest lengthening of a prefix that is considered.
 MOST = 4
 #: What a candidate pair costs to verify, in postings.
@@ -60,7 +60,7 @@ def classes(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
 
 
 def bucket_counts(sets: DataFrame) -> np.ndarray:
-    """How many of all shingles fall into each hash bucket: at most 2**20 numbers."""
+    """How many of all shingles fall into each hash bucket: at most 2**17 numbers."""
     bucket = F.explode("s").alias("h")
     rows = sets.select(bucket).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count().toPandas()
     out = np.ones(BUCKETS, dtype=np.int64)
