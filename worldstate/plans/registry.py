@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .oracles import ORACLES
+from .queries import QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
