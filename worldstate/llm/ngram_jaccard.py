@@ -10,7 +10,8 @@ none: the empty set, linked with nothing). Two documents link when 100 * |x & y|
    longer prefix has more postings, and more of its tokens must meet before a pair is verified.
 3. A prefix token shared by m representatives gives m - 1 pairs first, with the least of them. Linked pairs are
    contracted to components. Then the pairs of a token that lie in different components are made, those that
-   share fewer than min(k, k') prefix tokens or whose sizes differ too far are dropped, and the rest verified.
+   share fewer than min(k, k') prefix tokens, or too few for what can lie behind the prefixes, or whose sizes
+   differ too far, are dropped, and the rest verified.
    So a group of near copies costs pairs in its number, and no link that could join two components is lost.
 4. Components of all links, with alternating stars.
 
@@ -26,12 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, links
 
 BUCKETS = 1 << 17
+#: Document ids that are broadcast at most, of 8 bytes each.
+BROADCAST_IDS = 2_000_000
 #: The longest lengthening of a prefix that is considered.
 MOST = 4
 #: What a candidate pair costs to verify, in postings.
@@ -50,21 +54,41 @@ def shingles(text: Column, n: int = 4) -> Column:
     return common.let(words, of)
 
 
-def classes(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+SCAN = "doc long, n int, h1 long, h2 long, bucket int, c long"
+
+
+def scan(sets: DataFrame) -> DataFrame:
+    """One pass over the sets: a row per document with its size and 128-bit print, and a task's counts of shingles by hash bucket."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(BUCKETS, dtype=np.int64)
+        names = ["doc", "n", "h1", "h2", "bucket", "c"]
+        for batch in batches:
+            rows = []
+            for doc, s in zip(batch["doc"], batch["s"], strict=True):
+                s = np.sort(np.asarray(s, dtype=np.int64))
+                np.add.at(counts, s & (BUCKETS - 1), 1)
+                h = xxhash.xxh3_128_digest(s.tobytes())
+                rows.append((doc, len(s), *(int.from_bytes(h[a : a + 8], "big", signed=True) for a in (0, 8)), None, None))
+            yield pd.DataFrame(rows, columns=names).astype({"bucket": "Int32", "c": "Int64"})
+        found = np.flatnonzero(counts)
+        yield pd.DataFrame({"bucket": found, "c": counts[found]}).reindex(columns=names).astype({x: "Int64" for x in names})
+
+    return sets.mapInPandas(look, SCAN)
+
+
+def classes(prints: DataFrame) -> DataFrame:
     """doc_id, n_shingles and rep, the least id with an equal set."""
-    sets = df.select(F.col(id_col).alias("doc_id"), F.array_sort(shingles(F.col(text), n)).alias("s"))
-    prints = common.stored(sets.select("doc_id", F.size("s").cast("long").alias("n_shingles"), F.xxhash64("s").alias("h1"), F.hash("s").alias("h2")), "prints")
-    key = ["n_shingles", "h1", "h2"]
-    first = prints.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    return prints.join(first, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    key = ["n", "h1", "h2"]
+    first = prints.where("n > 0").groupBy(*key).agg(F.min("doc").alias("rep"))
+    return prints.join(first, key, "left").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc").alias("rep"))
 
 
-def bucket_counts(sets: DataFrame) -> np.ndarray:
+def bucket_counts(found: DataFrame) -> np.ndarray:
     """How many of all shingles fall into each hash bucket: at most 2**17 numbers."""
-    bucket = F.explode("s").alias("h")
-    rows = sets.select(bucket).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count().toPandas()
+    rows = found.where("bucket is not null").groupBy("bucket").agg(F.sum("c").alias("c")).toPandas()
     out = np.ones(BUCKETS, dtype=np.int64)
-    out[rows["b"].to_numpy(dtype=np.int64)] = rows["count"].to_numpy()
+    out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["c"].to_numpy()
     return out
 
 
@@ -100,44 +124,66 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int, most: int = MOST
     return sets.mapInPandas(pick, "token long, doc long, n int, k int")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """Those of the pairs (a, b) that link, by the sets of the documents in them."""
+    pairs = common.stored(pairs, f"{name}-pairs")
+    wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), f"{name}-docs")
+    # ids of a checked number are broadcast, so that no text moves; more meet the texts in a shuffle join
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = texts.join(side, "doc", "left_semi").dropDuplicates(["doc"]).select("doc", shingles(F.col("t"), n).alias("s"))
+    sets = common.stored(sets, f"{name}-sets")
     left, right = sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), sets.select(F.col("doc").alias("a"), F.col("s").alias("sa"))
     both = pairs.join(left, "b").join(right, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
+    linked = both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
+    return common.stored(linked, f"{name}-links")
+
+
+def may_link(percent: int) -> Column:
+    """Of a pair with na and nb shingles that shares `shared` tokens of its prefixes, of multiplicities ka and kb.
+
+    Where the prefix that ends first is x's, all of x that is shared stands among these tokens or behind x's
+    prefix, which leaves n - prefix = ceil(n * percent / 100) - k.
+    """
+    behind = F.greatest(*(F.ceil(F.col(f"n{s}") * percent / 100) - F.col(f"k{s}") for s in "ab"))
+    enough = (F.col("shared") + behind) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return (F.col("shared") >= F.least("ka", "kb")) & enough
 
 
 def sizes_fit(percent: int) -> Column:
     return (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
 
 
+def meet(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidates (a, b) of a row per shared prefix token."""
+    counted = pairs.where(sizes_fit(percent)).groupBy("a", "b", "na", "nb", "ka", "kb").agg(F.count("*").alias("shared"))
+    return counted.where(may_link(percent)).select("a", "b")
+
+
 def join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    known = df.where(F.col(id_col).isNotNull())
-    members = common.stored(classes(known, id_col, text, n), "classes")
-    reps = members.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct()
-    texts = known.select(F.col(id_col).alias("doc"), F.col(text).alias("t"))
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("t"))
     sets = texts.select("doc", shingles(F.col("t"), n).alias("s"))
-
-    postings = common.stored(prefixes(sets, bucket_counts(sets), percent), "postings")
-    tokens = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("doc", "n")).alias("hub")).where("c > 1").drop("c")
-    met = postings.join(tokens, "token").join(reps.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").distinct()
-    met = common.stored(met, "met")
-    # the texts are moved rather than their sets, which are larger
-    in_met = texts.join(met.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    in_met = common.stored(in_met.select("doc", shingles(F.col("t"), n).alias("s")), "sets")
-
-    hubs = met.where("doc > hub.doc").select(F.col("hub.doc").alias("a"), F.col("hub.n").alias("na"), F.col("doc").alias("b"), F.col("n").alias("nb"))
-    first = common.stored(verify(hubs.where(sizes_fit(percent)).select("a", "b").distinct(), in_met, percent), "first")
+    scanned = common.stored(scan(sets), "scan")
+    members = common.stored(classes(scanned.where("doc is not null")), "classes")
+    reps = members.where("doc_id = rep and n_shingles > 0").select(F.col("doc_id").alias("doc")).distinct()
+
+    postings = common.stored(prefixes(sets, bucket_counts(scanned), percent), "postings")
+    # most tokens occur once: they leave by a count of the bare tokens, before any wider row moves
+    several = postings.groupBy("token").count().where("count > 1").select("token")
+    met = common.stored(postings.join(several, "token", "left_semi"), "several")
+    met = common.stored(met.join(reps, "doc", "left_semi").distinct(), "met")
+
+    side = lambda c, s: [F.col(f"{c}{x}").alias(f"{y}{s}") for x, y in (("doc", ""), ("n", "n"), ("k", "k"))]
+    hub = met.groupBy("token").agg(F.min(F.struct("doc", "n", "k")).alias("hub"))
+    first = meet(met.join(hub, "token").where("doc > hub.doc").select(*side("hub.", "a"), *side("", "b")), percent)
+    first = verify(first, texts, n, percent, "first")
     near = links.components(first)
 
     marked = met.join(near.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "n", "k", F.coalesce("component", "doc").alias("c"))
-    several = marked.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
-    open_ = common.stored(marked.join(several, "token", "left_semi"), "open")
-    a, b = (open_.select("token", *(F.col(x).alias(f"{y}{s}") for x, y in (("doc", ""), ("n", "n"), ("k", "k"), ("c", "c")))) for s in "ab")
-    pairs = a.join(b, "token").where("a < b and ca != cb").where(sizes_fit(percent))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("ka", "kb")).alias("k")).where("shared >= k").select("a", "b")
-    rest = verify(pairs, in_met, percent)
+    open_ = marked.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
+    open_ = common.stored(marked.join(open_, "token", "left_semi"), "open")
+    a, b = (open_.select("token", *side("", s), F.col("c").alias(f"c{s}")) for s in "ab")
+    rest = verify(meet(a.join(b, "token").where("a < b and ca != cb"), percent), texts, n, percent, "rest")
     final = links.components(first.unionByName(rest).unionByName(near.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))))
     out = members.join(final.select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
