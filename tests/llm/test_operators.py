@@ -167,6 +167,20 @@ def test_html_extraction(spark):
         assert {k: v for k, v in found.items() if k >= 10} == {p[0]: (p[3], len(p[3])) for p in pages if p[0] >= 10}
 
 
+def test_html_classes_need_not_be_on_every_page(spark):
+    """A notice on most pages, one empty page, an error page and a second layout leave the classes of the others."""
+    story = lambda k: f"Story {k} of its very own and sufficient length, told at leisure"
+    first = [(k, f"http://t.org/{k}", f"<body>{'<div class=info>We changed our terms</div>' * (k != 3)}<p>Welcome to T</p><p>{story(k)}</p><p>All rights</p>", story(k)) for k in range(8)]
+    second = [(20 + k, f"http://t.org/s{k}", f"<body><section class=two><h2>Second wave</h2><p>{story(k + 20)}</p></section>", story(k + 20)) for k in range(4)]
+    odd = [(40, "http://t.org/e", None, ""), (41, "http://t.org/f", "", ""), (42, "http://t.org/g", "<h1>Error 500</h1>", "Error 500")]
+    # texts that three pages share, but no tag with them, are no template
+    shared = [(50 + k, f"http://u.org/{k}", f"<body><p>{'Shared by three. ' * (k < 3)}</p><p>{story(k + 50)}</p>", ("Shared by three.\n" if k < 3 else "") + story(k + 50)) for k in range(6)]
+    pages = first + second + odd + shared
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    for most in (1000, 0):
+        assert {r.page_id: r.text for r in html_extraction.extract(df, template_rows=most).collect()} == {p[0]: p[3] for p in pages}
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rng = random.Random(6)

@@ -1,29 +1,31 @@
 """HTML extraction by equivalence classes of tokens over the pages of a host.
 
-A page is a sequence of tokens: its tags with their path, and its text blocks with theirs. A token's occurrence
-vector has its count on each distinct page of the host. Tokens with one vector form an equivalence class. A class
-is valid if its vector is the same on every page, on three pages or more: its tags and texts are the template, in
-which classes nest by their tokens' paths. What the template doesn't hold are slots, and these are extracted:
+A page is a sequence of tokens: its tags with their path and class attribute, and its text blocks with their path. A
+token's occurrence vector has its count on each distinct page of the host; the first of a page's equal tags is a token of
+its own too, as it may have another role than the rest. Tokens with one vector form an equivalence
+class. A class is valid if it is on three pages or more and holds tags and texts; it need not be on every page. On each
+page that holds it, its tokens must come in the class's order, and those of its texts that nest below a tag of its own are
+template. What the template doesn't hold are slots, and these are extracted:
 all blocks of slots whose path has no boilerplate role (menu, header, footer, sidebar, notice, advert, form,
 script, style, reader comments). Where a page has an article or main element, its slots are those inside. A page
-that the template would empty by over half of such text is a near copy of all the others, so its texts are content.
+that the template would empty by over half of such text is a near copy of others, so its texts are content.
 
 Vectors are compared by a sum of hashes over pages, added up by (host, token) with partial aggregation: no
 group of pages is ever gathered, however hot the host, and no html moves. The template is broadcast up to
 TEMPLATE_ROWS tokens; beyond, each page's tokens meet it in a shuffle join.
 
 Defined cases: null or empty html gives an empty text and no characters; broken markup (unclosed, crossed or
-unquoted) is read as browsers do, roughly; null or hostless urls form one host; repeated rows count as one page
+unquoted) is read as browsers do, roughly; null or hostless urls form one host; pages without a token are on no class; repeated rows count as one page
 of a template and are all extracted; an empty table gives no rows; further columns stay, unless named as the results.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pages that a host must have for a template; template tokens that are broadcast at most.
+#: Pages that must hold a class; template tokens that are broadcast at most.
 LEAST_PAGES, TEMPLATE_ROWS = 3, 200_000
+#: Fixed value: what turns a tag's token into that of its first occurrence on a page.
+FIRST = 0x5851F42D4C957F2D
 
 #: Elements whose content is no text of the page, boilerplate elements, and elements that stay within a line.
 RAW = "script style noscript template iframe svg select textarea title object math canvas audio video".split()
@@ -62,16 +66,20 @@ def _boilerplate(tag: str, rest: str, inside: bool) -> bool:
     return tag not in ("html", "body", "main", "article") and any(MARKS.search(found.get(k, "")) for k in ("class", "id")) or tag == "article" and bool(re.search(r"\bcomment", found.get("class", ""), re.I))
 
 
-def tokens(html: str) -> list[tuple[str, str | None, bool, bool]]:
-    """(path, text or None for a tag, boilerplate, inside an article or main element) of each token in order."""
-    out: list[tuple[str, str | None, bool, bool]] = []
+def _class(rest: str) -> str:
+    return next((v.strip("\"'") for k, v in ATTRIBUTE.findall(rest) if k.lower() == "class"), "") if rest else ""
+
+
+def tokens(html: str) -> list[tuple[str, str | None, bool, bool, str]]:
+    """(path, text or None for a tag, boilerplate, inside an article or main element, a tag's class attribute) of each token in order."""
+    out: list[tuple[str, str | None, bool, bool, str]] = []
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, boilerplate, inside
     parts: list[str] = []
 
     def end_block() -> None:
         if parts and (text := " ".join(unescape("".join(parts)).split())):
             _, path, bad, inside = stack[-1]
-            out.append((path, text, bad, inside))
+            out.append((path, text, bad, inside, ""))
         parts.clear()
 
     at = 0
@@ -98,46 +106,77 @@ def tokens(html: str) -> list[tuple[str, str | None, bool, bool]]:
         _, path, bad, inside = stack[-1]
         here = inside or tag in ("article", "main")
         stack.append((tag, f"{path}/{tag}", bad or _boilerplate(tag, m["rest"], inside), here))
-        out.append((stack[-1][1], None, stack[-1][2], here))
+        out.append((stack[-1][1], None, stack[-1][2], here, _class(m["rest"])))
     parts.append(html[at:])
     end_block()
     return out
 
 
-def token_id(path: str, text: str | None) -> int:
-    return int.from_bytes(blake2b(f"{path}\0{'' if text is None else text}".encode(), digest_size=8, salt=b"tag" if text is None else b"text").digest(), "big", signed=True)
+def token_id(path: str, text: str | None, name: str = "") -> int:
+    return int.from_bytes(blake2b(f"{path}\0{name if text is None else text}".encode(), digest_size=8, salt=b"tag" if text is None else b"text").digest(), "big", signed=True)
+
+
+Template = dict[int, tuple[int, int]]
+
+
+def template_texts(found: list[tuple[str, str | None, bool, bool, str]], template: Template) -> set[int]:
+    """Which of a page's tokens are texts of a class that is in order and nests them below a tag of its own."""
+    known = []
+    places: dict[int, dict[int, None]] = {}
+    tags: dict[int, set[str]] = {}
+    for path, text, _, _, name in found:
+        token = token_id(path, text, name)
+        known.append(template.get(token))
+        for own in (known[-1], template.get(token ^ FIRST)) if text is None else known[-1:]:
+            if own:
+                places.setdefault(own[0], {}).setdefault(own[1])
+                if text is None:
+                    tags.setdefault(own[0], set()).add(path)
+    ordered = {c for c, seen in places.items() if all(a < b for a, b in pairwise(seen))}
+    out = set()
+    for i, ((path, text, *_), own) in enumerate(zip(found, known, strict=True)):
+        if own and text is not None and own[0] in ordered and (above := tags.get(own[0])):
+            ends = [k for k, x in enumerate(path) if x == "/"][1:] + [len(path)]
+            if any(path[:k] in above for k in ends):
+                out.add(i)
+    return out
 
 
-def main_text(html: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
+def main_text(html: str | None, template: Template | None = None) -> str:
     """The blocks of the slots that hold the article, joined by line ends."""
-    found = [(path, text, inside) for path, text, bad, inside in tokens(html or "") if text is not None and not bad]
-    inside = [x for x in found if x[2]] or found
-    slots = [x for x in inside if token_id(x[0], x[1]) not in template] if template else inside
-    if 2 * sum(len(x[1]) for x in slots) < sum(len(x[1]) for x in inside):
+    every = tokens(html or "")
+    fixed = template_texts(every, template) if template else set()
+    found = [(text, inside, i in fixed) for i, (_, text, bad, inside, _) in enumerate(every) if text is not None and not bad]
+    inside = [x for x in found if x[1]] or found
+    slots = [x for x in inside if not x[2]]
+    if 2 * sum(len(x[0]) for x in slots) < sum(len(x[0]) for x in inside):
         slots = inside
-    return "\n".join(x[1] for x in slots)
+    return "\n".join(x[0] for x in slots)
 
 
 def template(pages: DataFrame) -> DataFrame:
-    """(host, class, token) of the template of each host; pages: host, html."""
+    """(host, class, token, place) of the classes of each host that hold tags and texts; pages: host, html."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for host, html in zip(batch["host"], batch["html"], strict=True):
                 page = int.from_bytes(blake2b(html.encode(), digest_size=8).digest(), "big", signed=True)
-                seen = Counter(token_id(path, text) for path, text, _, _ in tokens(html))
-                rows.append((host, 0, page, 1))
-                rows += [(host, token, page, n) for token, n in seen.items()]
-            yield pd.DataFrame(rows, columns=["host", "token", "page", "n"])
+                seen: dict[int, list] = {}
+                for at, (path, text, _, _, name) in enumerate(tokens(html)):
+                    seen.setdefault(token_id(path, text, name), [host, text is None, at, 0])[3] += 1
+                rows += [(host, token, is_tag, page, at, n) for token, (host, is_tag, at, n) in seen.items()]
+                rows += [(host, token ^ FIRST, True, page, at, 1) for token, (host, is_tag, at, n) in seen.items() if is_tag]
+            yield pd.DataFrame(rows, columns=["host", "token", "is_tag", "page", "at", "n"])
 
     hashed = pages.select(F.xxhash64("host").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    counted = hashed.mapInPandas(count, "host long, token long, page long, n int").distinct()
+    counted = hashed.mapInPandas(count, "host long, token long, is_tag boolean, page long, at int, n int").distinct()
     part = F.xxhash64("page", "n").cast("decimal(38,0)")
-    vectors = counted.groupBy("host", "token").agg(F.count("*").alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum(part).alias("class"))
-    vectors = common.stored(vectors.where((F.col("pages") >= LEAST_PAGES) & (F.col("least") == F.col("most"))), "vectors")
-    hosts = vectors.where("token = 0").select("host", F.col("pages").alias("all"))
-    return vectors.where("token != 0").join(hosts, "host").where("pages = all").select("host", "class", "token")
+    # tokens of a class are on the same pages, so all of them have their place on the same one of these
+    vectors = counted.groupBy("host", "token", "is_tag").agg(F.count("*").alias("pages"), F.min(F.struct("page", "at")).alias("first"), F.sum(part).alias("class"))
+    vectors = common.stored(vectors.where(F.col("pages") >= LEAST_PAGES), "vectors")
+    valid = vectors.groupBy("host", "class").agg(F.bool_or("is_tag").alias("tags"), F.bool_and("is_tag").alias("only")).where("tags and not only")
+    return vectors.join(valid, ["host", "class"], "left_semi").select("host", "class", "token", F.col("first.at").alias("place"))
 
 
 def extract(df: DataFrame, url: str = "url", html: str = "html", template_rows: int = TEMPLATE_ROWS) -> DataFrame:
@@ -147,25 +186,25 @@ def extract(df: DataFrame, url: str = "url", html: str = "html", template_rows:
     pages = df.drop("text", "n_chars").withColumns({"_host": F.xxhash64(host), "_html": F.coalesce(F.col(html), F.lit(""))})
     found = common.stored(template(pages.select(host.alias("host"), F.col("_html").alias("html"))), "template")
     if found.limit(template_rows + 1).count() <= template_rows:
-        tables: dict[int, set[int]] = {}
-        for h, t in found.select("host", "token").collect():
-            tables.setdefault(h, set()).add(t)
+        tables: dict[int, Template] = {}
+        for h, t, c, at in found.select("host", "token", F.xxhash64("class"), "place").collect():
+            tables.setdefault(h, {})[t] = (c, at)
         shared = spark.sparkContext.broadcast(tables)
 
         @F.pandas_udf("string")
         def text_of(hosts: pd.Series, whole: pd.Series) -> pd.Series:
             known = shared.value
-            return pd.Series([main_text(x, known.get(h, frozenset())) for h, x in zip(hosts, whole, strict=True)])
+            return pd.Series([main_text(x, known.get(h)) for h, x in zip(hosts, whole, strict=True)])
 
         out = pages.withColumn("text", text_of("_host", "_html"))
     else:
 
         @F.pandas_udf("string")
         def text_with(own: pd.Series, whole: pd.Series) -> pd.Series:
-            return pd.Series([main_text(x, frozenset(() if t is None else t)) for t, x in zip(own, whole, strict=True)])
+            return pd.Series([main_text(x, None if t is None else {r["token"]: (r["class"], r["place"]) for r in t}) for t, x in zip(own, whole, strict=True)])
 
         # a host's template is as large as its pages' frames; hosts are many, each of them small
-        by_host = found.groupBy("host").agg(F.collect_set("token").alias("_own")).withColumnRenamed("host", "_host")
+        by_host = found.groupBy("host").agg(F.collect_set(F.struct("token", F.xxhash64("class").alias("class"), "place")).alias("_own")).withColumnRenamed("host", "_host")
         out = pages.join(by_host, "_host", "left").withColumn("text", text_with("_own", "_html")).drop("_own")
     return out.drop("_host", "_html").withColumn("n_chars", F.length("text").cast("long"))
 
