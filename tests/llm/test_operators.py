@@ -181,6 +181,26 @@ def test_html_classes_need_not_be_on_every_page(spark):
         assert {r.page_id: r.text for r in html_extraction.extract(df, template_rows=most).collect()} == {p[0]: p[3] for p in pages}
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<body><div class="content has-sidebar"><article><p>Story</article><div class=sidebar>Side</div></div>', "Story"),
+        ('<body><div id="no-sidebar"><main>Story</main></div>', "Story"),
+        ('<body><div class="layout-with-comments"><p>The story is longer</p><div class="comments">first</div></div>', "The story is longer"),
+        ("<html><head><title>t</title><meta charset=utf-8><body><nav>Menu</nav><p>Story</p>", "Story"),
+        ("<head><title>t</title><p>Story</p>", "Story"),
+        ("<head><title>t</title>Story", "Story"),
+        ("<body><nav><a>Menu</a><article>Story</article>", "Story"),
+        ("<body><header>Top<div>The story, which is longer than that</div>", "Top\nThe story, which is longer than that"),
+        ("<body><form><p>The story</p><input></form><footer>A footer that is longer than the story</footer>", "The story"),
+        ("<body><p>Story</p><div hidden><article>unseen</article></div><article class=comment>first</article>", "Story"),
+        ("<body><p>Story, longer than the rest</p><div class=ad>Buy</div><footer>(c)</footer>", "Story, longer than the rest"),
+    ],
+)
+def test_html_flags_do_not_reach_the_article(html, text):
+    assert html_extraction.main_text(html) == text
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rng = random.Random(6)

@@ -7,7 +7,7 @@ class. A class is valid if it is on three pages or more and holds tags and texts
 page that holds it, its tokens must come in the class's order, and those of its texts that nest below a tag of its own are
 template. What the template doesn't hold are slots, and these are extracted:
 all blocks of slots whose path has no boilerplate role (menu, header, footer, sidebar, notice, advert, form,
-script, style, reader comments). Where a page has an article or main element, its slots are those inside. A page
+script, style, reader comments); see _flagged() for what a role reaches. Where a page has an article or main element, its slots are those inside. A page
 that the template would empty by over half of such text is a near copy of others, so its texts are content.
 
 Vectors are compared by a sum of hashes over pages, added up by (host, token) with partial aggregation: no
@@ -55,15 +55,19 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|aria-label)
 ENDS_ITSELF = set("p li dt dd option tr td th".split())
 
 
-def _boilerplate(tag: str, rest: str, inside: bool) -> bool:
-    if tag in BOILERPLATE:
-        return not (inside and tag == "header")
-    if not rest:
-        return False
-    found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES:
-        return True
-    return tag not in ("html", "body", "main", "article") and any(MARKS.search(found.get(k, "")) for k in ("class", "id")) or tag == "article" and bool(re.search(r"\bcomment", found.get("class", ""), re.I))
+#: What flags an element's text: nothing, its element or role, a word of its class or id, or that it is not shown.
+CLEAN, ELEMENT, MARK, HIDDEN = range(4)
+
+
+def _flag(tag: str, rest: str, inside: bool) -> int:
+    found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)} if rest else {}
+    if "hidden" in found or found.get("aria-hidden") == "true":
+        return HIDDEN
+    if tag in BOILERPLATE and not (inside and tag == "header") or found.get("role", "").lower() in ROLES:
+        return ELEMENT
+    if tag == "article" and re.search(r"\bcomment", found.get("class", ""), re.I):
+        return ELEMENT
+    return MARK if tag not in ("html", "body", "main", "article") and any(MARKS.search(found.get(k, "")) for k in ("class", "id")) else CLEAN
 
 
 def _class(rest: str) -> str:
@@ -72,16 +76,24 @@ def _class(rest: str) -> str:
 
 def tokens(html: str) -> list[tuple[str, str | None, bool, bool, str]]:
     """(path, text or None for a tag, boilerplate, inside an article or main element, a tag's class attribute) of each token in order."""
-    out: list[tuple[str, str | None, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, boilerplate, inside
+    out: list[tuple[int, str, str | None, str]] = []  # node, path, text, class attribute
+    nodes: list[list] = [[0, "", "", CLEAN, False, False]]  # parent, tag, path, flag, inside, closed by its end tag
+    stack = [0]
     parts: list[str] = []
 
     def end_block() -> None:
         if parts and (text := " ".join(unescape("".join(parts)).split())):
-            _, path, bad, inside = stack[-1]
-            out.append((path, text, bad, inside, ""))
+            end_head()
+            out.append((stack[-1], nodes[stack[-1]][2], text, ""))
         parts.clear()
 
+    def end_head() -> None:
+        """Anything but metadata ends an open head, whose end tag may be left out."""
+        for k in range(1, len(stack)):
+            if nodes[stack[k]][1] == "head":
+                del stack[k:]
+                break
+
     at = 0
     for m in TOKEN.finditer(html):
         if m.start() > at:
@@ -95,21 +107,54 @@ def tokens(html: str) -> list[tuple[str, str | None, bool, bool, str]]:
         end_block()
         if m["close"]:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
+                if nodes[stack[k]][1] == tag:
+                    nodes[stack[k]][5] = True
                     del stack[k:]
                     break
             continue
         if tag in EMPTY:
             continue
-        if tag in ENDS_ITSELF and stack[-1][0] == tag:
+        end_head()
+        if tag in ENDS_ITSELF and nodes[stack[-1]][1] == tag:
             stack.pop()
-        _, path, bad, inside = stack[-1]
-        here = inside or tag in ("article", "main")
-        stack.append((tag, f"{path}/{tag}", bad or _boilerplate(tag, m["rest"], inside), here))
-        out.append((stack[-1][1], None, stack[-1][2], here, _class(m["rest"])))
+        above = nodes[stack[-1]]
+        nodes.append([stack[-1], tag, f"{above[2]}/{tag}", _flag(tag, m["rest"], above[4]), above[4] or tag in ("article", "main"), False])
+        stack.append(len(nodes) - 1)
+        out.append((stack[-1], nodes[-1][2], None, _class(m["rest"])))
     parts.append(html[at:])
     end_block()
-    return out
+    bad = _flagged(nodes, out)
+    return [(path, text, bad[node], nodes[node][4], name) for node, path, text, name in out]
+
+
+def _flagged(nodes: list[list], out: list[tuple[int, str, str | None, str]]) -> list[bool]:
+    """Which nodes are boilerplate, by their own flag or one above.
+
+    An article or main element starts anew, unless it is flagged itself or not shown. A class or id, a form and an
+    element without its end tag flag nothing if an article or main element, or most of the page's text, is below.
+    """
+    n = len(nodes)
+    if not any(x[3] for x in nodes):
+        return [False] * n
+    holds = [x[1] in ("article", "main") for x in nodes]
+    size = [0] * n
+    for node, _, text, _ in out:
+        size[node] += len(text or "")
+    # text that an element surely flags is no part of the page's text; node numbers grow downwards
+    sure = [x[3] == HIDDEN or x[3] == ELEMENT and x[5] and x[1] != "form" for x in nodes]
+    for k in range(n - 1, 0, -1):
+        up = nodes[k][0]
+        holds[up] = holds[up] or holds[k]
+        size[up] += 0 if sure[k] else size[k]
+    bad, unseen = [False] * n, [False] * n
+    for k in range(1, n):
+        up, tag, _, flag, _, _ = nodes[k]
+        own_article = tag in ("article", "main")
+        if flag and not sure[k] and not own_article and (holds[k] or 2 * size[k] > size[0]):
+            flag = CLEAN
+        unseen[k] = unseen[up] or flag == HIDDEN
+        bad[k] = unseen[k] or flag != CLEAN or bad[up] and not own_article
+    return bad
 
 
 def token_id(path: str, text: str | None, name: str = "") -> int:
