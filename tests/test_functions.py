@@ -33,6 +33,34 @@ def test_text(spark):
     assert masked == "seen <DATE> at <TIME>, <AGE>, id <ID>"
 
 
+VOLATILE = ["2026-09-28", "2026-09-28T10:15:00Z", "2026-09-28 10:15:00+05:30", "Sep 28, 2026", "Sept. 28th, 2026", "28 September 2026", "28th of September, 2026", "Mon, Sep 28", "28/09/2026", "28.09.2026", "2026/09/28", "10:15 AM", "22:04:11", "7pm", "3 minutes ago", "2 hrs ago", "an hour ago", "5m ago", "yesterday", "just now", "© 2026", "Copyright 2019-2026", "Copyright © 2019 – 2026", "(c) 2025"]
+STABLE = ["Start accepting payments at just 2%", "₹2499 per month", "40,000+ businesses", "1.8% per transaction", "0%* platform fees for first 90 days", "Settlement in 2 days", "T+2 settlements", "24x7 support", "ratio 1:10", "March 2026 launch", "state-of-the-art-2026-edition", "internationalization", "Top 10 marketing tips", "Offer valid till 30 Sep 2026", "effective 1 October", "a1b2c3", "zzzzzzzzzzzz1111yyyy"]
+MASKED = {"session a8Fk2LmQ9zX7pR3t end": "session <ID> end", "req 550e8400-e29b-41d4-a716-446655440000": "req <ID>", "etag deadbeefcafebabe1234": "etag <ID>", "x 1234567890123456": "x <ID>", "/static/app.js?v=123": "/static/app.js?v=<CB>", "style.css?ver=1.2.3&x=1": "style.css?ver=<CB>&x=1", "28 Sep 2026": "<DATE>", "(2026/09/28)": "(<DATE>)", "a8Fk2LmQ9zX7pR3t-": "a8Fk2LmQ9zX7pR3t-"}
+
+
+def test_masks_of_the_reference(spark):
+    """FIXTURES A9, with the date contexts."""
+    cases = [f"Updated {x} here" for x in VOLATILE] + STABLE + list(MASKED)
+    df = spark.createDataFrame([(x,) for x in cases], "x string")
+    found = {r.x: r.y for r in df.select("x", text.mask_volatile(F.col("x"), None).alias("y")).collect()}
+    for x in VOLATILE:
+        masked = found[f"Updated {x} here"]
+        assert x not in masked and masked.startswith("Updated <") and masked.endswith("> here"), masked
+    assert {x: found[x] for x in STABLE} == {x: x for x in STABLE}
+    assert {x: found[x] for x in MASKED} == MASKED
+    pair = [one(spark, x, lambda s: text.mask_volatile(s, None)) for x in ("Last updated: Sep 28, 2026 at 10:15 AM. © 2026 Razorpay", "Last updated: Oct 1, 2026 at 9:05 PM. © 2027 Razorpay")]
+    assert pair[0] == pair[1]
+    assert one(spark, None, lambda s: text.mask_volatile(s, None)) is None
+
+
+def test_diffs_of_the_reference(spark):
+    """FIXTURES A11: notes of updates are no change; deadlines, numbers and case are."""
+    cases = [("Pricing\nLast updated: Sep 28, 2026 10:15 AM\n© 2025 R", "Pricing\nLast updated: Oct 1, 2026 9:05 PM\n© 2026 R", (0, 0)), ("Offer valid till 30 Sep 2026", "Offer valid till 31 Oct 2026", (1, 1)), ("2.5%", "25%", (1, 1)), ("0%*", "0%", (1, 1)), ("-5%", "5%", (1, 1)), ("US rates", "us rates", (1, 1)), ("A\nB\nC", "A\nC\nD\nE", (2, 1))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, x string, y string")
+    found = df.withColumn("h", diffing.hunks(diffing.masked_lines(F.col("x")), diffing.masked_lines(F.col("y"))))
+    assert {r.i: (r.n_added, r.n_removed) for r in found.select("i", *(v.alias(k) for k, v in diffing.counts(F.col("h")).items())).collect()} == {i: c[2] for i, c in enumerate(cases)}
+
+
 def test_levels(spark):
     df = spark.createDataFrame([("critical", "single_source", "high"), ("critical", "unverified", "high"), ("high", "confirmed", "low"), (None, "confirmed", "high")], "s string, e string, i string")
     assert [r[0] for r in df.select(levels.clamp_severity(F.col("s"), F.col("e"), F.col("i"))).collect()] == ["high", "medium", "medium", "none"]

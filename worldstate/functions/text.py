@@ -42,24 +42,70 @@ def negations(s: Column) -> Column:
     return F.array_sort(F.filter(words, lambda w: w.isin(NEGATIONS)))
 
 
-def mask_volatile(s: Column) -> Column:
-    """Parts of a line that change on every visit become markers: dates, times, ages and long ids."""
-    masks = [
-        (r"\b\d{4}-\d{2}-\d{2}\b", "<DATE>"),
-        (r"\b\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\b", "<DATE>"),
-        (r"\b\d{1,2}:\d{2}(?::\d{2})?(?:\s*[APap]\.?[Mm]\.?)?\b", "<TIME>"),
-        (r"\b\d+\s+(?:second|minute|hour|day|week|month|year)s?\s+ago\b", "<AGE>"),
-        (r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b|\b[0-9a-fA-F]{16,}\b", "<ID>"),
-        (r"(?:©|\(c\))\s*\d{4}", "<YEAR>"),
-    ]
-    for pattern, marker in masks:
-        s = F.regexp_replace(s, pattern, marker)
-    return s
+#: The parts of dates.
+MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b\.?"
+WEEKDAY = r"(?:(?:mon(?:day)?|tue(?:s(?:day)?)?|wed(?:nesday)?|thu(?:r(?:s(?:day)?)?)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)\b\.?,?\s+)?"
+DAY = r"\d{1,2}(?:st|nd|rd|th)?"
+#: What changes on every visit, in the order in which it is masked, so that none sees half a date.
+MASKS = [
+    (r"(?iU)(?:©|\(c\)|&copy;|\bcopyright\b)(?:\s*©)?\s*\d{4}(?:\s*[-–—]\s*(?:\d{4}|present))?", "<COPYRIGHT>"),
+    (r"(?U)\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:\s?(?:Z|[+-]\d{2}:?\d{2})\b)?)?", "<DATE>"),
+    (rf"(?iU)\b{WEEKDAY}{MONTH}\s+{DAY}\b(?:,?\s+\d{{4}}\b)?", "<DATE>"),
+    (rf"(?iU)\b{WEEKDAY}{DAY}\s+(?:of\s+)?{MONTH}(?:,?\s+\d{{4}}\b)?", "<DATE>"),
+    (r"(?U)\b\d{1,2}[/-]\d{1,2}[/-](?:\d{4}|\d{2})\b", "<DATE>"),
+    (r"(?U)\b\d{1,2}\.\d{1,2}\.\d{4}\b", "<DATE>"),
+    (r"(?U)\b\d{4}/\d{1,2}/\d{1,2}\b", "<DATE>"),
+    (r"(?U)\b(?:[01]?\d|2[0-3]):[0-5]\d:[0-5]\d(?:[.,]\d+)?\b", "<TIME>"),
+    (r"(?iU)\b(?:[01]?\d|2[0-3]):[0-5]\d\s?[ap]\.?m\b\.?", "<TIME>"),
+    (r"(?U)\b(?:[01]\d|2[0-3]):[0-5]\d\b", "<TIME>"),  # 1:10 is a ratio
+    (r"(?iU)\b(?:1[0-2]|0?[1-9])\s?[ap]\.?m\b\.?", "<TIME>"),
+    (r"(?iU)\b(?:\d+|an?|one|two|three|few|several)\s*(?:s|secs?|seconds?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|wks?|weeks?|mos?|months?|y|yrs?|years?)\s+ago\b", "<AGE>"),
+    (r"(?iU)\b(?:just now|moments? ago|a moment ago|yesterday)\b", "<AGE>"),
+    (r"""(?iU)(?<=[?&])(v|ver|version|rev|cb|cachebust|cache_bust|nocache|_|t|ts|timestamp)=[^&#\s"'<>]*""", "$1=<CB>"),
+]
+#: A token of 16 characters or more that is a UUID, hex, or changes four times between digits and letters.
+LETTER, NO_DIGIT, NO_LETTER = r"[\w&&[^\d_]]", r"[\w+/=\-&&[^\d]]*+", r"[\d_+/=-]*+"
+TO_DIGIT, TO_LETTER = NO_DIGIT + r"\d", NO_LETTER + LETTER
+ID = (
+    r"(?U)(?<![\w+/=-])(?=(?:[0-9a-fA-F]{16,}+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})(?![\w+/=-])"
+    rf"|{TO_DIGIT}{TO_LETTER}{TO_DIGIT}{TO_LETTER}{TO_DIGIT}|{TO_LETTER}{TO_DIGIT}{TO_LETTER}{TO_DIGIT}{TO_LETTER})"
+    r"[A-Za-z0-9][\w+/=-]{15,}+(?<=[\w=])"
+)
+#: Fixed value: lines with these words have dates that only say when the page was made.
+DATE_NOISE = r"(?iU)\b(?:updated|update|modified|published|posted|as\s+(?:of|on)|last|generated|reviewed|retrieved|accessed|printed|refreshed|today)\b|©|\bcopyright\b"
+
+
+def dates_are_noise(s: Column) -> Column:
+    """Whether a line's dates say when the page was made, or are all it holds; elsewhere they are deadlines and the like."""
+    bare = s
+    for pattern, marker in MASKS:
+        if marker == "<DATE>":
+            bare = F.regexp_replace(bare, pattern, "")
+    word = F.lit(r"(?U)[\w&&[^_]]")
+    alone = F.regexp_like(s, word) & ~F.regexp_like(bare, word)
+    return F.regexp_like(s, F.lit(DATE_NOISE)) | alone
+
+
+def mask_volatile(s: Column, dates: bool | None = True) -> Column:
+    """Parts of a line that change on every visit become markers: dates, times, ages, copyright years, cache-busters and long ids.
+
+    Dates are masked in all lines, in none, or for None in those where they are noise. Ages are marked <AGE>.
+    """
+
+    def masked(x: Column, with_dates: bool) -> Column:
+        for pattern, marker in MASKS:
+            if with_dates or marker != "<DATE>":
+                x = F.regexp_replace(x, pattern, marker)
+        return F.regexp_replace(x, ID, "<ID>")
+
+    if dates is not None:
+        return masked(s, dates)
+    return bound(s, lambda x: F.when(dates_are_noise(x), masked(x, True)).otherwise(masked(x, False)))
 
 
 def content_hash(lines: Column) -> Column:
     """SHA-256 over masked, squeezed lines joined by line ends."""
-    return F.sha2(F.array_join(F.transform(lines, lambda x: mask_volatile(squeeze(x))), "\n"), 256)
+    return F.sha2(F.array_join(F.transform(lines, lambda x: mask_volatile(squeeze(x), None)), "\n"), 256)
 
 
 def search_terms(query: Column, most: int = 12) -> Column:

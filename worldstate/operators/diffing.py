@@ -15,9 +15,9 @@ HUNKS = ArrayType(StructType([StructField("kind", StringType()), StructField("be
 
 
 def masked_lines(s: Column) -> Column:
-    """Non-empty lines as an array of (line, key), the key without volatile parts."""
+    """Non-empty lines as an array of (line, key), the key without volatile parts; dates outside notes of updates stay, and so does case."""
     lines = F.filter(F.transform(F.split(s, "\n"), text.squeeze), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(x.alias("line"), F.lower(text.mask_volatile(x)).alias("key")))
+    return F.transform(lines, lambda x: F.struct(x.alias("line"), text.mask_volatile(x, None).alias("key")))
 
 
 @F.pandas_udf(HUNKS)
