@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from worldstate.functions import levels, scheduling, text, urls
@@ -100,3 +102,29 @@ def test_limiter(spark, tmp_path):
     stream = stateful.limit_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 60, 2)
     stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert {r.id: (r.allowed, r.wait) for r in spark.table("limited").collect()} == want
+
+
+def test_limiter_over_many_batches(spark, tmp_path):
+    """A hot key beside others, unordered, in Arrow batches of three rows: batch and stream are as one fold."""
+    rng = random.Random(8)
+    rows = [(1 if rng.random() < 0.7 else rng.choice([2, 3, None]), i, rng.randrange(-500, 3000)) for i in range(400)]
+    want = {}
+    for key in {r[0] for r in rows}:
+        hits = []
+        for _, id_, at in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            hits, ok, wait = stateful.allow(hits, at, 60, 3)
+            want[id_] = (key, at, ok, wait)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = spark.createDataFrame(rows, "key long, id long, at long")
+        out = stateful.limit_batch(df, 60, 3)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        found = [(r.id, (r.key, r.at, r.allowed, r.wait)) for r in out.collect()]
+        assert len(found) == len(rows) and dict(found) == want
+        df.where("key is not null").coalesce(1).write.parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        stateful.limit_stream(stream, 60, 3).writeStream.format("memory").queryName("limited_hot").outputMode("append").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+        assert {r.id: (r.key, r.at, r.allowed, r.wait) for r in spark.table("limited_hot").collect()} == {k: v for k, v in want.items() if v[0] is not None}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
