@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from worldstate.functions import levels, scheduling, text, urls
 from worldstate.operators import diffing, evidence, matching
+from worldstate.plans import oracles, queries
 from worldstate.streaming import stateful
 
 
@@ -128,3 +130,16 @@ def test_limiter_over_many_batches(spark, tmp_path):
         assert {r.id: (r.key, r.at, r.allowed, r.wait) for r in spark.table("limited_hot").collect()} == {k: v for k, v in want.items() if v[0] is not None}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_quotes_of_all_lines(spark, tmp_path):
+    """Later and short lines, quotes behind a tab or a quotation mark, other typography; not words that go on."""
+    spark.createDataFrame([(1, "one two three four five six\nlater line"), (2, "short"), (3, "---\nit's a fee")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "x\tone two three four five six"), (2, "he said “one two three four five six”"), (3, "a LATER\nline, and shorter"), (4, "It’s  a fee: short"), (5, "it's a feed ---"), (6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in queries.f13_quotes(spark, str(tmp_path)).collect()} == {(1, 1), (1, 2)}
+    want = {(1, 0, 1), (1, 0, 2), (1, 1, 3), (2, 0, 4), (3, 1, 4)}
+    assert {tuple(r) for r in queries.f13_quote_lines(spark, str(tmp_path)).collect()} == want
+    for name in ("benchmark", "documents"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert set(duckdb.sql(oracles.ORACLES["f13_quote_lines"]).fetchall()) == want

@@ -108,6 +108,29 @@ def content_hash(lines: Column) -> Column:
     return F.sha2(F.array_join(F.transform(lines, lambda x: mask_volatile(squeeze(x), None)), "\n"), 256)
 
 
+#: Words; typography that is alike in quotes, and characters without width.
+WORDS = r"[\p{L}\p{M}\p{N}_]+"
+ALIKE = ("\u2018\u2019\u201a\u201b\u2032`\u201c\u201d\u201e\u201f\u2033\u00ab\u00bb\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "''''''" + '"' * 7 + "-" * 7)
+NO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+
+
+def for_match(s: Column) -> Column:
+    """The form in which quotes are looked up: typography, white space and case made alike (NFKC is not applied)."""
+    plain = F.translate(F.translate(s, NO_WIDTH, ""), *ALIKE)
+    return F.trim(F.regexp_replace(F.lower(plain), r"[\t-\r\x{85}\p{Z}]+", " "))
+
+
+def mark_words(s: Column) -> Column:
+    """Words between marks, so that what is contained doesn't begin or end inside a word."""
+    return F.regexp_replace(s, f"({WORDS})", "\u0001$1\u0002")
+
+
+def runs(words: Column, n: int) -> Column:
+    """All runs of n words, joined by blanks; none where there are fewer words."""
+    found = lambda: F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, found()).otherwise(F.array().cast("array<string>"))
+
+
 def search_terms(query: Column, most: int = 12) -> Column:
     """Distinct words of a query in order, without stop words."""
     words = F.regexp_extract_all(F.lower(query), F.lit(r"[a-z0-9][a-z0-9.'+&-]*"), F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import text
+
 OBS = "obs AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS \"at\", floor(value / 10)::BIGINT AS key FROM events)"
 CHANGES = f"{OBS}, c AS (SELECT *, coalesce(key <> lag(key) OVER w, false) AS is_change, row_number() OVER w = 1 AS first FROM obs WINDOW w AS (PARTITION BY user_id, event_type ORDER BY \"at\", event_id))"
 URLS = r"""
@@ -21,6 +23,16 @@ u AS (
   FROM u LEFT JOIN args ON u.page_id = args.page_id
 )"""
 
+WORDS = r"[\p{L}\p{M}\p{N}_]+"
+QUOTE_LINES = rf"""
+WITH b AS (SELECT item_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM benchmark),
+n AS (
+  SELECT item_id, line, doc_id, regexp_replace(trim(regexp_replace(lower(translate(regexp_replace(text, '[\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}\x{{ad}}]', '', 'g'), '{text.ALIKE[0]}', '{text.ALIKE[1].replace("'", "''")}')), '[\t-\r\x{{85}}\p{{Z}}]+', ' ', 'g')), '({WORDS})', chr(1) || '\1' || chr(2), 'g') AS t
+  FROM (SELECT item_id, line, NULL AS doc_id, text FROM b UNION ALL SELECT NULL, NULL, doc_id, text FROM documents)
+)
+SELECT DISTINCT q.item_id, q.line::BIGINT AS line, d.doc_id FROM n q JOIN n d ON contains(d.t, q.t) WHERE q.item_id IS NOT NULL AND d.item_id IS NULL AND contains(q.t, chr(1))
+"""
+
 ORACLES = {
     "w_fact_versions": f"WITH {CHANGES} SELECT user_id, event_type, arg_max(key, (\"at\", event_id)) AS current, min(\"at\") AS first_seen, max(CASE WHEN is_change THEN \"at\" END) AS last_changed, count(*) AS n_versions, count(*) FILTER (is_change) AS n_changes FROM c GROUP BY ALL",
     "w_value_trail": f"WITH {CHANGES} SELECT user_id, event_type, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY \"at\", event_id))::INT AS step, key AS value, \"at\" AS since FROM c WHERE first OR is_change",
@@ -66,4 +78,5 @@ SELECT ['none', 'low', 'medium', 'high', 'critical'][least(r, most) + 1] AS seve
     "m2_next_interval": "WITH e AS (SELECT event_id, event_type, greatest(user_id % 90, 5) AS base, event_id % 5000 AS cur, event_id % 9 AS f, user_id % 2 = 0 AS page FROM events) SELECT event_id, (CASE WHEN NOT page OR event_type NOT IN ('view', 'error') THEN base WHEN event_type = 'view' THEN least(floor(greatest(cur, base) * 1.5), base * 4, 10080) ELSE least(base * pow(2, least(f, 5)), 2880) END)::BIGINT AS minutes FROM e",
     "f11_numbers": r"WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')) AS a FROM documents) SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|') AS numbers FROM n",
     "f13_quotes": "SELECT item_id, doc_id FROM (SELECT item_id, string_split(text, chr(10))[1] AS quote FROM benchmark) b JOIN documents d ON contains(d.text, quote) AND len(string_split(quote, ' ')) >= 5",
+    "f13_quote_lines": QUOTE_LINES,
 }

@@ -216,16 +216,34 @@ def f11_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f13_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first line of a benchmark item verbatim, by the line's first five words in a hash join."""
-    lead = lambda s: F.array_join(F.slice(F.split(s, " "), 1, 5), " ")
+    """Documents that hold the first line of a benchmark item, of five words or more, verbatim: the part of f13_quote_lines that its SQL asks for.
+
+    The second to fourth word find them in a hash join: these are whole in a document whatever stands around the line.
+    """
     items = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.element_at(F.split("text", "\n"), 1).alias("quote"))
-    items = items.withColumn("lead", lead(F.col("quote"))).where("size(split(quote, ' ')) >= 5")
+    items = items.where("size(split(quote, ' ')) >= 5").withColumn("lead", F.array_join(F.slice(F.split("quote", " "), 2, 3), " "))
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    leads = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 5), " "))
-    starts = docs.withColumn("lead", F.explode(F.array_distinct(text.bound(F.split("text", "[ \n]"), leads))))
+    starts = docs.withColumn("lead", F.explode(F.array_distinct(text.bound(F.split("text", "[ \n]"), lambda w: text.runs(w, 3)))))
     return starts.join(items, "lead").where("contains(text, quote)").select("item_id", "doc_id").distinct()
 
 
+def f13_quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a line of a benchmark item: its normalised form, not begun or ended inside a word. Lines without a word are no quotes.
+
+    A line is found by its first five words, or all of them if fewer, in a hash join on leads of each length.
+    """
+    words = lambda s: F.regexp_extract_all(s, F.lit(text.WORDS), F.lit(0))
+    lines = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.posexplode(F.split("text", "\n")).alias("line", "quote"))
+    lines = lines.withColumn("quote", text.for_match(F.col("quote"))).withColumn("lead", F.array_join(F.slice(words(F.col("quote")), 1, 5), " ")).where("lead <> ''")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", text.for_match(F.col("text")))
+    leads = lambda w: F.array_distinct(F.flatten(F.array(*(text.runs(w, n) for n in range(1, 6)))))
+    # leads move without texts, which only the pairs met need
+    starts = docs.select(F.col("doc_id").alias("_doc"), F.explode(text.bound(words(F.col("text")), leads)).alias("lead"))
+    met = starts.join(lines, "lead").select("_doc", "item_id", "line", "quote").distinct()
+    held = F.contains(text.mark_words(F.col("text")), text.mark_words(F.col("quote")))
+    return met.join(docs, F.col("_doc").eqNullSafe(F.col("doc_id"))).where(held).select("item_id", F.col("line").cast("long").alias("line"), "doc_id").distinct()
+
+
 def k1_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Added and removed lines between a conversation's consecutive turns, where they are no more than volatile."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
@@ -241,4 +259,4 @@ def st2_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.limit_batch(obs, 3600, 3)
 
 
-QUERIES = {f.__name__: f for f in (w_fact_versions, w_value_trail, j11_as_of, w5_last_versions, w8_first_per_month, w9_latest_per_key, w14_dense_ids, g1_attention_funnel, g4_entity_summary, g10_evidence_status, g18_severity_counts, j8_unread, j11_as_of_join, j12_nearest, j14_interval_join, t1_ranked_search, t4_keyset_page, t8_activity, u1_canonical_urls, e1_dedup_urls, j10_unseen, e6_routed_teams, e12_new_since_visit, p1_quality_gate, m2_next_interval, f8_masked_hashes, f11_numbers, f13_quotes, k1_diff_counts, st2_rate_limit)}
+QUERIES = {f.__name__: f for f in (w_fact_versions, w_value_trail, j11_as_of, w5_last_versions, w8_first_per_month, w9_latest_per_key, w14_dense_ids, g1_attention_funnel, g4_entity_summary, g10_evidence_status, g18_severity_counts, j8_unread, j11_as_of_join, j12_nearest, j14_interval_join, t1_ranked_search, t4_keyset_page, t8_activity, u1_canonical_urls, e1_dedup_urls, j10_unseen, e6_routed_teams, e12_new_since_visit, p1_quality_gate, m2_next_interval, f8_masked_hashes, f11_numbers, f13_quotes, f13_quote_lines, k1_diff_counts, st2_rate_limit)}
