@@ -262,9 +262,10 @@ def test_byte_bpe(spark):
     ranks = byte_bpe.read_ranks(path)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(9)
-    texts = [None, "", "It's  two\n\nlines ", "naïve 東京 ١٢٣ 😀", "x" * 3000, " " * 50, "aaaa" * 30]
+    texts = [None, "", "It's  two\n\nlines ", "naïve 東京 ١٢٣ 😀", "x" * 3000, " " * 50, "aaaa" * 30, "東京の天気は晴れ" * 90, "a \U00031350 \u0378 b", "same", "same"]
     texts += ["".join(rng.choice(" \n\t'sabcdeé1.!日") for _ in range(rng.randrange(60))) for _ in range(60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    assert byte_bpe.encode(df.limit(0), path).count() == 0
     out = byte_bpe.encode(df, path, known=20)
     out = out.withColumn("bytes", byte_bpe.decode(F.col("ids"), ranks))
     for r in out.collect():

@@ -1,15 +1,18 @@
 """Byte-level BPE encoding and decoding by Spark's higher-order functions.
 
-A text is cut into words by the family's pattern. A word's bytes become their ranks, and a fold merges the
-adjacent pair of the lowest rank, the leftmost of several, until no pair is in the rank map. The map is a literal:
-(left rank, right rank) -> merged rank, in hash buckets, so that a look-up reads a bucket and not the whole map.
-Words are counted over all texts; the fold encodes the `known` most frequent distinct ones once, which become a
-second literal (its size does not depend on the corpus); a word that is not among them is folded where it stands.
-Decoding looks up each id's bytes in a literal and concatenates them.
+A text is cut into words by the family's pattern. A word's bytes become ids, and a fold merges the adjacent pair of
+the lowest rank, the leftmost of several, until no pair is in the rank map. Inside expressions an id is a character
+(code point id + 256), so that a word under way is a short string and a merge replaces two characters by one; the
+rank map is a literal of hash buckets, each a string of pairs with what they become.
 
-No step shuffles texts or ids; only partial word counts move. A text with a word of over 2048 bytes (the fold
-takes quadratic time in a word) or with a character that the JVM's Unicode version lacks goes to an Arrow
-function that merges with a heap and cuts with the regex library: the same ids by another path.
+Texts are first cut before single blanks, which never cuts a word (texts with blanks inside longer white space are
+cut by the pattern alone). These pieces are counted over all texts; the `known` most frequent distinct ones are folded
+once, which makes a dictionary whose size does not depend on the corpus. Arrow functions cut texts and look pieces up
+in it; a piece that is not there is cut into words, which are looked up in turn, and the words that are not there
+either are folded in the text's row. Decoding looks up each id's bytes in a literal and concatenates them.
+
+No step shuffles texts or ids; only partial piece counts move. The fold takes quadratic time in a word, so words of over
+LONG_WORD bytes are merged with a heap where the text is cut: the same ids by another path.
 
 Defined cases: null texts are empty; empty texts have no ids; repeated rows are encoded alike; ids outside the
 vocabulary decode to nothing; an empty table gives no rows; other columns stay, `ids` is replaced.
@@ -19,9 +22,11 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
+import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +35,14 @@ from . import common
 
 #: The public pattern that cuts a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KNOWN = 1 << 16
-BUCKETS = 1 << 16
-LONG_WORD = 2048
-NONE = (1 << 31) - 1
-SHIFT = 1 << 20
+#: Distinct pieces in the dictionary, of less than KNOWN_BYTES each; hash buckets of the rank map.
+KNOWN, KNOWN_BYTES = 1 << 19, 48
+BUCKETS = 1 << 17
+LONG_WORD = 1024
+#: Distinct pieces that a task counts before it passes them on.
+HELD = 500_000
+#: Ids as characters start here; no pair; what stands between a pair and what it becomes.
+FIRST, NONE, BECOMES = 256, "\uffff", "\ufffe"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,130 +50,195 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-def _folded(value: object, kind: str) -> Column:
-    """A literal of a nested type; the optimiser evaluates it once."""
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
-
+def _letter(rank: int) -> str:
+    # surrogates are no characters
+    return chr(FIRST + rank + (0x800 if FIRST + rank >= 0xD800 else 0))
 
-def _bucket(left: Column | int, right: Column | int) -> Column | int:
-    return (left * 40503 + right) % BUCKETS
 
-
-def pair_table(ranks: dict[bytes, int]) -> Column:
-    """array of buckets of (left * 2**20 + right -> rank of both together)."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def pair_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """Buckets of (two ids as characters, the id of both together), by the hash of the two."""
+    if max(ranks.values()) + FIRST + 0x800 >= ord(NONE):
+        raise ValueError("ids don't fit in the basic plane")
+    pairs = []
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
-                buckets[_bucket(left, right)][str(left * SHIFT + right)] = rank
-    return _folded(buckets, "array<map<string,int>>").cast("array<map<bigint,int>>")
+                pairs.append((_letter(left) + _letter(right), _letter(rank)))
+    buckets = [NONE + NONE] * BUCKETS
+    for pair, merged, b in spark.createDataFrame(pairs, "pair string, merged string").select("pair", "merged", F.xxhash64("pair").bitwiseAND(F.lit(BUCKETS - 1))).collect():
+        buckets[b] += pair + BECOMES + merged + NONE
+    return F.split(F.lit(" ".join(buckets)), " ")
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){PATTERN}"), F.lit(0))
+def fold(word: Column, pairs: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids of a word, as characters."""
 
+    def merged(pair: Column) -> Column:
+        bucket = F.get(pairs, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        # what follows the pair, or the whole bucket, which begins with NONE
+        return F.substring(F.call_function("substring_index", bucket, pair, F.lit(-1)), 2, 1)
 
-def fold(word: Column, table: Column, byte_ranks: Column) -> Column:
-    """The ids of a word."""
-    digit = lambda h, i: F.instr(F.lit("0123456789ABCDEF"), F.substring(h, i, F.lit(1))) - 1
-    rank = lambda a, b: F.coalesce(F.try_element_at(F.get(table, _bucket(a.cast("long"), b).cast("int")), a.cast("long") * SHIFT + b), F.lit(NONE))
-    none = F.array().cast("array<int>")
+    empty = F.lit("")
 
-    def start(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(h) - 1, F.lit(2)), lambda i: F.get(byte_ranks, digit(h, i) * 16 + digit(h, i + 1)))
+    def step(state: Column, _: Column) -> Column:
+        ids, next_ = state["ids"], state["next"]
 
-    def ranked(ids: Column) -> Column:
-        pairs = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda x, i: rank(x, F.get(ids, i + 1)))
-        return F.struct(ids.alias("ids"), F.when(F.size(ids) > 1, pairs).otherwise(none).alias("pairs"))
+        def merge(least: Column) -> Column:
+            def at(p: Column) -> Column:
+                def with_ids(new: Column) -> Column:
+                    left = F.when(p > 1, merged(F.substring(new, p - 1, F.lit(2)))).otherwise(empty)
+                    right = F.when(p < F.length(next_), merged(F.substring(new, p, F.lit(2)))).otherwise(empty)
+                    return F.struct(new.alias("ids"), F.concat(F.substring(next_, F.lit(1), p - 2), left, right, F.substring(next_, p + 2, F.length(next_))).alias("next"))
 
-    def merge(state: Column, least: Column) -> Column:
-        def at(p: Column) -> Column:
-            ids, pairs = state["ids"], state["pairs"]
-            merged = F.concat(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids)))
-            before = F.when(p > 1, F.concat(F.slice(pairs, F.lit(1), p - 2), F.array(rank(F.get(ids, p - 2), least)))).otherwise(none)
-            after = F.when(p < F.size(pairs), F.concat(F.array(rank(least, F.get(ids, p + 1))), F.slice(pairs, p + 2, F.size(pairs)))).otherwise(none)
-            return F.struct(merged.alias("ids"), F.concat(before, after).alias("pairs"))
+                return common.let(F.overlay(ids, least, p, F.lit(2)), with_ids)
 
-        return common.let(F.array_position(state["pairs"], least).cast("int"), at)
+            return F.when(least == NONE, F.struct(ids.alias("ids"), empty.alias("next"))).otherwise(common.let(F.instr(next_, least), at))
 
-    def step(state: Column, _: Column) -> Column:
-        least = F.coalesce(F.array_min(state["pairs"]), F.lit(NONE))
-        return common.let(least, lambda m: F.when(m == NONE, state).otherwise(merge(state, m)))
+        return F.when(next_ == "", state).otherwise(common.let(F.array_min(F.split(next_, "")), merge))
 
     def whole(ids: Column) -> Column:
-        return F.aggregate(F.slice(ids, 1, F.size(ids) - 1), ranked(ids), step, lambda s: s["ids"])
-
-    return F.when(F.length(word) == 0, none).otherwise(common.let(start(F.hex(F.to_binary(word, F.lit("utf-8")))), whole))
-
-
-def encode_words(df: DataFrame, word: str, ranks: dict[bytes, int]) -> DataFrame:
-    """df with the ids of a column of single words."""
-    byte_ranks = F.array(*(F.lit(ranks[bytes([b])]) for b in range(256)))
-    return df.withColumn("ids", common.let(pair_table(ranks), lambda t: common.let(byte_ranks, lambda b: fold(F.col(word), t, b))))
-
-
-def heap_encode(text: str, ranks: dict[bytes, int], pattern) -> list[int]:
-    """The same by a heap of pairs, in n log n, for words of any length."""
-    out = []
-    for word in pattern.findall(text):
-        raw = word.encode()
-        end = [*range(1, len(raw) + 1)]
-        before = [i - 1 for i in range(len(raw))]
-        live = [True] * len(raw)
-        rank = lambda i: ranks.get(raw[i : end[end[i]]]) if end[i] < len(raw) else None  # noqa: B023, E731
-        heap = [(r, i, end[end[i]]) for i in range(len(raw)) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not live[i] or end[i] >= len(raw) or end[end[i]] != stop:
-                continue
-            live[end[i]] = False
-            end[i] = stop
-            if stop < len(raw):
-                before[stop] = i
-            for k in (i, before[i]):
-                if k >= 0 and (r := rank(k)) is not None:
-                    heapq.heappush(heap, (r, k, end[end[k]]))
-        out += [ranks[raw[i : end[i]]] for i in range(len(raw)) if live[i]]
-    return out
-
-
-def dictionary(df: DataFrame, text: str, ranks: dict[bytes, int], known: int = KNOWN) -> Column:
-    """array of buckets of (word -> ids) for the most frequent words of all texts; `known` words at most."""
-    found = df.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").count()
-    top = common.stored(found.where(F.octet_length("word") < 64).orderBy(F.desc("count"), "word").limit(known).select("word"), "words")
-    buckets: list[dict[str, list[int]]] = [{} for _ in range(BUCKETS)]
-    for word, ids, b in encode_words(top, "word", ranks).withColumn("b", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")).collect():
-        buckets[b][word] = ids
-    return _folded(buckets, "array<map<string,array<int>>>")
+        steps = F.sequence(F.lit(1), F.greatest(F.length(ids) - 1, F.lit(1)))
+        next_ = F.array_join(F.transform(steps, lambda i: F.when(i < F.length(ids), merged(F.substring(ids, i, F.lit(2)))).otherwise(empty)), "")
+        return F.aggregate(steps, F.struct(ids.alias("ids"), next_.alias("next")), step, lambda s: s["ids"])
 
+    single = F.translate(F.decode(F.to_binary(word, F.lit("utf-8")), "ISO-8859-1"), "".join(map(chr, range(256))), "".join(_letter(ranks[bytes([b])]) for b in range(256)))
+    return common.let(single, whole)
 
-def encode(df: DataFrame, path: str, text: str = "text", known: int = KNOWN) -> DataFrame:
-    """df with ids array<int>, the ids of each whole text by the ranks of a tiktoken file."""
-    ranks = read_ranks(path)
-    df = df.drop("ids")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    odd = whole.rlike(r"\p{Cn}") | whole.rlike(rf"\S{{{LONG_WORD // 4}}}|\s{{{LONG_WORD // 4}}}")
-    found = dictionary(df.where(~odd), text, ranks, known)
-    byte_ranks = F.array(*(F.lit(ranks[bytes([b])]) for b in range(256)))
-
-    def of(table: Column, pairs: Column, single: Column) -> Column:
-        look_up = lambda w: F.try_element_at(F.get(table, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), w)
-        return F.flatten(F.transform(words(F.col(text)), lambda w: F.coalesce(look_up(w), fold(w, pairs, single))))
-
-    ids = common.let(found, lambda t: common.let(pair_table(ranks), lambda p: common.let(byte_ranks, lambda b: of(t, p, b))))
-    usual = df.where(~odd).withColumn("ids", ids)
-
-    @F.pandas_udf("array<int>")
-    def by_heap(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def fold_all(found: Column, pairs: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids as characters of a struct of open words and of what stands before each of them and behind the last."""
+    before = F.transform(found["open"], lambda w, i: F.concat(F.get(found["done"], i), fold(w, pairs, ranks)))
+    return F.concat(F.array_join(before, ""), F.element_at(found["done"], -1))
+
+
+def _folded(found: str, spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    # found is bound outside of all loops: Spark evaluates no Python function in a loop
+    return common.let(F.col(found), lambda x: common.let(pair_table(spark, ranks), lambda p: fold_all(x, p, ranks)))
+
+
+def as_ids(letters: Column) -> Column:
+    """Ids that are characters, as array<int>."""
+
+    def rank(letter: Column) -> Column:
+        return F.ascii(letter) - F.when(letter < "\ue000", FIRST).otherwise(FIRST + 0x800)
+
+    return F.when(letters == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(letters, ""), rank))
+
+
+class Cutter:
+    """Cuts texts into pieces, and pieces into words."""
+
+    def __init__(self) -> None:
         import regex
 
-        pattern = regex.compile(PATTERN)
+        self.words = regex.compile(PATTERN).findall
+        self.across = regex.compile(r" (?<=\s )(?:\s|\Z)").search
+        self.behind = re.compile(r"[^\S ] |  ").search
+
+    def pieces(self, text: str) -> list[str]:
+        """Stretches whose words are those of the text: cut before blanks, but for a text with a blank inside longer white space."""
+        if self.behind(text) and self.across(text):
+            return self.words(text)
+        first, *rest = text.split(" ")
+        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+
+
+FOUND = "struct<done: array<string>, open: array<string>>"
+
+
+def look_up(text: Column, known: dict[str, str], ranks: dict[bytes, int], spark: SparkSession) -> Column:
+    """FOUND for each text: ids as characters of what is known, and the words that are not."""
+    shared = spark.sparkContext.broadcast((known, ranks))
+
+    @F.pandas_udf(FOUND)
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cutter, (letters, by_bytes) = Cutter(), shared.value
         for batch in texts:
-            yield pd.Series([heap_encode(x or "", ranks, pattern) for x in batch])
+            rows = []
+            for text in batch:
+                done, open_, run = [], [], []
+                for piece in cutter.pieces(text or ""):
+                    y = letters.get(piece)
+                    if y is not None:
+                        run.append(y)
+                        continue
+                    for word in cutter.words(piece):
+                        y = letters.get(word)
+                        if y is None and len(word) > LONG_WORD // 4 and len(raw := word.encode()) > LONG_WORD:
+                            y = "".join(map(_letter, heap_encode(raw, by_bytes)))
+                        if y is None:
+                            done.append("".join(run))
+                            open_.append(word)
+                            run = []
+                        else:
+                            run.append(y)
+                rows.append(([*done, "".join(run)], open_))
+            yield pd.DataFrame(rows, columns=["done", "open"])
+
+    return found(text)
+
+
+def heap_encode(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word's bytes by a heap of pairs, in n log n, for words of any length."""
+    end = [*range(1, len(raw) + 1)]
+    before = [i - 1 for i in range(len(raw))]
+    live = [True] * len(raw)
+    rank = lambda i: ranks.get(raw[i : end[end[i]]]) if end[i] < len(raw) else None
+    heap = [(r, i, end[end[i]]) for i in range(len(raw)) if (r := rank(i)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        if not live[i] or end[i] >= len(raw) or end[end[i]] != stop:
+            continue
+        live[end[i]] = False
+        end[i] = stop
+        if stop < len(raw):
+            before[stop] = i
+        for k in (i, before[i]):
+            if k >= 0 and (r := rank(k)) is not None:
+                heapq.heappush(heap, (r, k, end[end[k]]))
+    return [ranks[raw[i : end[i]]] for i in range(len(raw)) if live[i]]
+
+
+def dictionary(df: DataFrame, text: str, ranks: dict[bytes, int], known: int = KNOWN) -> dict[str, str]:
+    """The most frequent pieces of all texts, `known` at most, with their ids as characters."""
+    spark = df.sparkSession
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cutter, seen = Cutter(), Counter()
+        rows = lambda: pd.DataFrame({"piece": [*seen.keys()], "n": [*seen.values()]})
+        for batch in batches:
+            for whole in batch["text"]:
+                seen.update(cutter.pieces(whole or ""))
+                if len(seen) > HELD:
+                    yield rows()
+                    seen.clear()
+        yield rows()
+
+    counted = df.select(F.col(text).alias("text")).mapInPandas(count, "piece string, n long").where(F.octet_length("piece") < KNOWN_BYTES)
+    found = common.stored(counted.groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    # the least count that leaves few enough: exact below 1024, in small steps above, so a few thousand numbers
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 384).cast("int")
+    least, total = 1 << 30, 0
+    for at, n in found.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        total += n
+        if total > known:
+            break
+        least = at
+    top = found.where(level >= least).select("piece").repartition(2 * spark.sparkContext.defaultParallelism, "piece")
+    cut = top.withColumn("found", look_up(F.col("piece"), {}, ranks, spark))
+    folded = _folded("found", spark, ranks)
+    rows = cut.select("piece", folded.alias("letters")).toArrow()
+    return dict(zip(rows.column("piece").to_pylist(), rows.column("letters").to_pylist(), strict=True))
 
-    return usual.unionByName(df.where(odd).withColumn("ids", by_heap(text)))
+
+def encode(df: DataFrame, path: str, text: str = "text", known: int = KNOWN) -> DataFrame:
+    """df with ids array<int>, the ids of each whole text by the ranks of a tiktoken file."""
+    ranks, spark, df = read_ranks(path), df.sparkSession, df.drop("ids")
+    found = df.withColumn("_found", look_up(F.col(text), dictionary(df, text, ranks, known), ranks, spark))
+    letters = found.withColumn("_letters", _folded("_found", spark, ranks))
+    return letters.withColumn("ids", as_ids(F.col("_letters"))).drop("_found", "_letters")
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -173,7 +246,9 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
-    return common.let(F.split(F.lit(",".join(pieces)), ","), lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))
+    table = F.split(F.lit(",".join(pieces)), ",")
+    # ids are bound outside of all loops, where a Python function may give them
+    return common.let(ids, lambda x: common.let(table, lambda p: F.unhex(F.array_join(F.transform(x, lambda i: F.get(p, i)), ""))))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,5 +256,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), read_ranks(path)), 256).alias("decoded_sha256"))
