@@ -148,6 +148,37 @@ def test_ngram_jaccard(spark):
     assert ngram_jaccard.join(df.limit(0)).count() == 0
 
 
+def test_ngram_jaccard_links_rows_not_ids(spark):
+    a, b = prose(random.Random(1), 60), prose(random.Random(2), 60)
+    data = [(1, a), (1, b), (2, b + " word"), (3, a + " word"), (None, a), (None, "alone here"), (7, a), (7, a)]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({"n_shingles": F.lit("x"), "component_id": F.lit("y"), "key": F.lit(1), "rep": F.lit(2)})
+    found = sorted(rows(ngram_jaccard.join(df).select("doc_id", "component_id")), key=str)
+    assert found == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (None, None), (7, 1), (7, 1)], key=str)
+
+
+def test_ngram_jaccard_of_a_hot_group(spark):
+    """Near copies about the threshold, from one base: components as by brute force, with lengthened prefixes too."""
+    rng = random.Random(3)
+    base = prose(rng, 150).split()
+    texts = []
+    for _ in range(120):
+        copy = base.copy()
+        for _ in range(rng.randrange(6)):
+            copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(copy[rng.randrange(8) : len(copy) - rng.randrange(8)]))
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    label = [*range(len(texts))]
+    for _ in range(9):
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for cost in (8, 500):
+        ngram_jaccard.PAIR_COST = cost
+        assert {r.doc_id: r.component_id for r in ngram_jaccard.join(df).collect()} == dict(enumerate(label))
+    ngram_jaccard.PAIR_COST = 8
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (40, 40)]
     found = dict(rows(links.components(spark.createDataFrame(edges, "a long, b long"))))

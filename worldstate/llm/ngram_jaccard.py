@@ -3,26 +3,32 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams (fewer words: the whole sequence as one;
 none: the empty set, linked with nothing). Two documents link when 100 * |x & y| >= percent * |x | y|.
 
-1. Equal sets become one class, whose representative is its least id; only representatives are joined.
-2. Shingles get a global order, rarest first, by counts of all shingles in 2**17 hash buckets (1 MB, whatever
-   the corpus size). In that order, linked sets share at least k of their first n - ceil(n * percent / 100) + k
-   shingles, for every k. Each document takes the k from 1 to `most` with the least estimated cost: the
-   longer prefix has more postings, and more of its tokens must meet before a pair is verified.
-3. A prefix token shared by m representatives gives m - 1 pairs first, with the least of them. Linked pairs are
-   contracted to components. Then the pairs of a token that lie in different components are made, those that
-   share fewer than min(k, k') prefix tokens, or too few for what can lie behind the prefixes, or whose sizes
-   differ too far, are dropped, and the rest verified.
-   So a group of near copies costs pairs in its number, and no link that could join two components is lost.
-4. Components of all links, with alternating stars.
-
-The steps' outcomes are written to the shared folder.
-
-Defined cases: null and empty texts have n_shingles 0 and are their own component; repeated rows are equal sets;
-rows with a null id are left out; an empty table gives no rows; further columns of the input are dropped.
+1. Rows are known by a hash of id and text. Equal sets become one class; only its representative is joined.
+2. Shingles get a global order, rarest first, by counts of all shingles in 2**20 hash buckets (8 MB, whatever
+   the corpus size). In that order, two sets that share t shingles or more have k of them among the first
+   |x| - t + k of x and the first |y| - t + k of y, for every k. A larger set needs t = ceil(|y| * percent / 100), which
+   gives its probing prefix; the smaller one t = ceil(2 * |x| * percent / (100 + percent)), which gives its shorter
+   indexed prefix. Each document takes the k with the least estimated cost: the longer prefix has more postings,
+   and more of its tokens must meet before a pair is verified.
+3. Rounds of stars: in each token that holds several components, one of its representatives is paired with the others.
+   Linked pairs are contracted to components. So a group of near copies costs pairs in its number.
+4. The pairs of a token that lie in different components are made if sizes, places in the order and sketches allow a link (a
+   sketch has the parities of a set's hashes in 512 buckets, so two differ in no more bits than the sets in shingles). Those
+   that share fewer than min(k, k') prefix tokens are dropped, and the rest verified. No link that could join two components is lost.
+5. Components of all links, with alternating stars.
+
+The steps' outcomes are written to the shared folder. Step 4 compares the representatives of a token that lie in
+different components with each other; what it makes of them are the pairs that may link.
+
+Defined cases: null and empty texts have n_shingles 0 and are their own component; repeated rows are equal sets; rows of
+one id with different texts are linked each by its own text; a row with a null id counts as a document, without an
+id to give to its component (null if no member has one); an empty table gives no rows; further columns of the input are
+dropped.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +39,15 @@ from pyspark.sql import functions as F
 
 from . import common, links
 
-BUCKETS = 1 << 17
-#: Document ids that are broadcast at most, of 8 bytes each.
+BUCKETS, CHUNK = 1 << 20, 1 << 12
+#: Row keys that are broadcast at most, of 8 bytes each.
 BROADCAST_IDS = 2_000_000
-#: The longest lengthening of a prefix that is considered.
-MOST = 4
 #: What a candidate pair costs to verify, in postings.
 PAIR_COST = 8
+#: Rounds of stars before all pairs between components are made.
+ROUNDS = 2
+#: Words of 64 bits in a sketch.
+SKETCH = 8
 
 
 def shingles(text: Column, n: int = 4) -> Column:
@@ -54,139 +62,185 @@ def shingles(text: Column, n: int = 4) -> Column:
     return common.let(words, of)
 
 
-SCAN = "doc long, n int, h1 long, h2 long, bucket int, c long"
+def row_key(id_col: str, text: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text))
+
+
+SCAN = "key long, id string, n int, h1 long, h2 long, sketch array<long>, chunk int, counts binary"
 
 
 def scan(sets: DataFrame) -> DataFrame:
-    """One pass over the sets: a row per document with its size and 128-bit print, and a task's counts of shingles by hash bucket."""
+    """One pass over the sets (key, id, s): a row per document with its size, 128-bit print and sketch, and a task's counts of shingles by hash bucket."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(BUCKETS, dtype=np.int64)
-        names = ["doc", "n", "h1", "h2", "bucket", "c"]
+        names = [x.split()[0] for x in SCAN.split(", ")]
+        kinds = dict.fromkeys(("key", "n", "h1", "h2", "chunk"), "Int64")
         for batch in batches:
             rows = []
-            for doc, s in zip(batch["doc"], batch["s"], strict=True):
+            for key, id_, s in zip(batch["key"], batch["id"], batch["s"], strict=True):
                 s = np.sort(np.asarray(s, dtype=np.int64))
                 np.add.at(counts, s & (BUCKETS - 1), 1)
                 h = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((doc, len(s), *(int.from_bytes(h[a : a + 8], "big", signed=True) for a in (0, 8)), None, None))
-            yield pd.DataFrame(rows, columns=names).astype({"bucket": "Int32", "c": "Int64"})
-        found = np.flatnonzero(counts)
-        yield pd.DataFrame({"bucket": found, "c": counts[found]}).reindex(columns=names).astype({x: "Int64" for x in names})
+                bits = np.bincount((s >> 32) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+                rows.append((key, id_, len(s), *(int.from_bytes(h[a : a + 8], "big", signed=True) for a in (0, 8)), np.packbits(bits.astype(bool)).view(">i8").astype("i8"), None, None))
+            yield pd.DataFrame(rows, columns=names).astype(kinds)
+        parts = [(*[None] * 6, k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
+        yield pd.DataFrame(parts, columns=names, dtype=object).astype(kinds)
 
     return sets.mapInPandas(look, SCAN)
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and rep, the least id with an equal set."""
-    key = ["n", "h1", "h2"]
-    first = prints.where("n > 0").groupBy(*key).agg(F.min("doc").alias("rep"))
-    return prints.join(first, key, "left").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc").alias("rep"))
+def bucket_counts(found: DataFrame) -> np.ndarray:
+    """How many of all shingles fall into each hash bucket: BUCKETS numbers, added up in tasks that hold a chunk each."""
 
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch["chunk"], batch["counts"], strict=True):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(zlib.decompress(counts), dtype=np.int64)
+        yield pd.DataFrame([(k, zlib.compress(c.tobytes(), 1)) for k, c in sums.items()], columns=["chunk", "counts"])
 
-def bucket_counts(found: DataFrame) -> np.ndarray:
-    """How many of all shingles fall into each hash bucket: at most 2**17 numbers."""
-    rows = found.where("bucket is not null").groupBy("bucket").agg(F.sum("c").alias("c")).toPandas()
     out = np.ones(BUCKETS, dtype=np.int64)
-    out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["c"].to_numpy()
+    for chunk, counts in found.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInPandas(add, "chunk int, counts binary").collect():
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.maximum(np.frombuffer(zlib.decompress(counts), dtype=np.int64), 1)
     return out
 
 
-def prefixes(sets: DataFrame, counts: np.ndarray, percent: int, most: int = MOST) -> DataFrame:
-    """token, doc, n, k: the postings of each document's adaptive prefix."""
+def classes(prints: DataFrame) -> DataFrame:
+    """key, id, n and rep, the least key with an equal set."""
+    same = ["n", "h1", "h2"]
+    first = prints.where("n > 0").groupBy(*same).agg(F.min("key").alias("rep"))
+    return prints.join(first, same, "left").select("key", F.col("id").cast("long").alias("id"), "n", F.coalesce("rep", "key").alias("rep"))
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """token, key, n, k, at, indexed: the postings of each document's adaptive prefix, with their places in it."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
     total = max(1, int(counts.sum()))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = shared.value
         usual = total / len(weights)
+        noise = 4 * (usual + np.sqrt(usual) + 1)
         for batch in batches:
-            tokens, docs, sizes, ks = [], [], [], []
-            for doc, s in zip(batch["doc"], batch["s"], strict=True):
+            parts = []
+            for key, s in zip(batch["key"], batch["s"], strict=True):
                 n = len(s)
                 if not n:
                     continue
                 h = np.asarray(s, dtype=np.int64)
                 w = weights[h & (BUCKETS - 1)]
+                order = np.lexsort((h, w))
                 # a bucket's surplus over the usual one estimates how many partners its shingle brings
-                h = h[np.lexsort((h, w))]
-                extra = np.sort(np.maximum(w - 4 * usual, 0))
+                partners = np.cumsum(np.maximum(w[order] - noise, 0))
                 free = n - -(-n * percent // 100)
-                choices = range(1, max(1, min(most, n - free)) + 1)
-                k = min(choices, key=lambda k: (free + k) + PAIR_COST * extra[: free + k].sum() / k**2)
-                tokens.append(h[: free + k])
-                docs.append(np.full(free + k, doc))
-                sizes.append(np.full(free + k, n))
-                ks.append(np.full(free + k, k))
-            if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "doc": np.concatenate(docs), "n": np.concatenate(sizes), "k": np.concatenate(ks)})
+                ks = np.arange(1, n - free + 1)
+                k = int(ks[np.argmin(free + ks + PAIR_COST * partners[free + ks - 1] / ks**2)])
+                length, index = free + k, n - -(-2 * n * percent // (100 + percent)) + k
+                at = np.arange(length)
+                parts.append((h[order[:length]], np.full(length, key), np.full(length, n), np.full(length, k), at, at < index))
+            if parts:
+                yield pd.DataFrame({name: np.concatenate(x) for name, x in zip(("token", "key", "n", "k", "at", "indexed"), zip(*parts, strict=True), strict=True)})
 
-    return sets.mapInPandas(pick, "token long, doc long, n int, k int")
+    return sets.mapInPandas(pick, "token long, key long, n int, k int, at int, indexed boolean")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """Those of the pairs (a, b) that link, by the sets of the documents in them."""
+    """Those of the pairs (a, b) that link, by the sets of the documents in them; texts: key, t."""
     pairs = common.stored(pairs, f"{name}-pairs")
-    wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), f"{name}-docs")
-    # ids of a checked number are broadcast, so that no text moves; more meet the texts in a shuffle join
+    wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), f"{name}-docs")
+    # keys of a checked number are broadcast, so that no text moves; more meet the texts in a shuffle join
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = texts.join(side, "doc", "left_semi").dropDuplicates(["doc"]).select("doc", shingles(F.col("t"), n).alias("s"))
+    sets = texts.join(side, "key", "left_semi").dropDuplicates(["key"]).select("key", shingles(F.col("t"), n).alias("s"))
     sets = common.stored(sets, f"{name}-sets")
-    left, right = sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), sets.select(F.col("doc").alias("a"), F.col("s").alias("sa"))
+    left, right = sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
     both = pairs.join(left, "b").join(right, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     linked = both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
     return common.stored(linked, f"{name}-links")
 
 
-def may_link(percent: int) -> Column:
-    """Of a pair with na and nb shingles that shares `shared` tokens of its prefixes, of multiplicities ka and kb.
+def fits(percent: int) -> Column:
+    """a is the smaller set, indexed by the token; sizes and places allow a link of which the token is one of the first k shared ones."""
+    first = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+    before = F.least(F.col("ka") - 1, F.col("kb") - 1, F.col("ata"), F.col("atb"))
+    most = before + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    room = most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return first & F.col("ia") & (F.col("na") * 100 >= F.col("nb") * percent) & room
 
-    Where the prefix that ends first is x's, all of x that is shared stands among these tokens or behind x's
-    prefix, which leaves n - prefix = ceil(n * percent / 100) - k.
-    """
-    behind = F.greatest(*(F.ceil(F.col(f"n{s}") * percent / 100) - F.col(f"k{s}") for s in "ab"))
-    enough = (F.col("shared") + behind) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    return (F.col("shared") >= F.least("ka", "kb")) & enough
 
+def alike(percent: int) -> Column:
+    """The sketches differ in no more bits than linked sets may in shingles."""
+    bits = sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(1, SKETCH)), F.bit_count(F.get("sa", F.lit(0)).bitwiseXOR(F.get("sb", F.lit(0)))))
+    return bits * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
 
-def sizes_fit(percent: int) -> Column:
-    return (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
 
+def meet(pairs: DataFrame) -> DataFrame:
+    """Distinct candidates (a, b) of a row per shared prefix token: those that share min(k, k')."""
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("ka", "kb")).alias("k"))
+    return counted.where("shared >= k").select("a", "b")
 
-def meet(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidates (a, b) of a row per shared prefix token."""
-    counted = pairs.where(sizes_fit(percent)).groupBy("a", "b", "na", "nb", "ka", "kb").agg(F.count("*").alias("shared"))
-    return counted.where(may_link(percent)).select("a", "b")
 
+SIDE = {"key": "", "n": "n", "k": "k", "at": "at", "indexed": "i", "sketch": "s", "c": "c"}
 
-def join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("t"))
-    sets = texts.select("doc", shingles(F.col("t"), n).alias("s"))
+
+def _side(s: str, prefix: str = "") -> list[Column]:
+    return [F.col(f"{prefix}{x}").alias(f"{y}{s}") for x, y in SIDE.items()]
+
+
+def stars(open_: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Candidates of one representative a token, another one each turn, with those in other components."""
+    members = F.struct(*SIDE)
+    hub = open_.groupBy("token").agg(F.min_by(members, F.xxhash64("key", F.lit(turn))).alias("hub"))
+    both = open_.join(hub, "token").where("c != hub.c").select("token", members.alias("own"), "hub")
+    hub_first = F.expr("hub.n < own.n or (hub.n = own.n and hub.key < own.key)")
+    a, b = F.when(hub_first, F.col("hub")).otherwise(F.col("own")), F.when(hub_first, F.col("own")).otherwise(F.col("hub"))
+    pairs = both.select(a.alias("x"), b.alias("y")).select(*_side("a", "x."), *_side("b", "y."))
+    return meet(pairs.where(fits(percent) & alike(percent)))
+
+
+def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """key (see row_key), id, n and group, the least key that links reach, of every row."""
+    texts = df.select(row_key(id_col, text).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
+    # ids pass Python as text: a null among them would turn numbers into floats
+    sets = texts.select("key", F.col("id").cast("string").alias("id"), shingles(F.col("t"), n).alias("s"))
     scanned = common.stored(scan(sets), "scan")
-    members = common.stored(classes(scanned.where("doc is not null")), "classes")
-    reps = members.where("doc_id = rep and n_shingles > 0").select(F.col("doc_id").alias("doc")).distinct()
+    prints = scanned.where("key is not null")
+    members = common.stored(classes(prints), "classes")
+    reps = members.where("key = rep and n > 0").select("key").distinct()
 
     postings = common.stored(prefixes(sets, bucket_counts(scanned), percent), "postings")
-    # most tokens occur once: they leave by a count of the bare tokens, before any wider row moves
-    several = postings.groupBy("token").count().where("count > 1").select("token")
+    # most tokens occur once, or are indexed nowhere: they leave by a count of the bare tokens, before any wider row moves
+    several = postings.groupBy("token").agg(F.count("*").alias("c"), F.max("indexed").alias("i")).where("c > 1 and i").select("token")
     met = common.stored(postings.join(several, "token", "left_semi"), "several")
-    met = common.stored(met.join(reps, "doc", "left_semi").distinct(), "met")
-
-    side = lambda c, s: [F.col(f"{c}{x}").alias(f"{y}{s}") for x, y in (("doc", ""), ("n", "n"), ("k", "k"))]
-    hub = met.groupBy("token").agg(F.min(F.struct("doc", "n", "k")).alias("hub"))
-    first = meet(met.join(hub, "token").where("doc > hub.doc").select(*side("hub.", "a"), *side("", "b")), percent)
-    first = verify(first, texts, n, percent, "first")
-    near = links.components(first)
-
-    marked = met.join(near.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "n", "k", F.coalesce("component", "doc").alias("c"))
-    open_ = marked.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
-    open_ = common.stored(marked.join(open_, "token", "left_semi"), "open")
-    a, b = (open_.select("token", *side("", s), F.col("c").alias(f"c{s}")) for s in "ab")
-    rest = verify(meet(a.join(b, "token").where("a < b and ca != cb"), percent), texts, n, percent, "rest")
-    final = links.components(first.unionByName(rest).unionByName(near.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))))
-    out = members.join(final.select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    sketches = prints.select("key", "sketch").join(reps, "key", "left_semi").dropDuplicates(["key"])
+    met = common.stored(met.distinct().join(sketches, "key"), "met")
+
+    edges, near = None, None
+    for turn in range(ROUNDS + 1):
+        marked = met.withColumn("c", F.col("key")) if near is None else met.join(near.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+        open_ = marked.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
+        open_ = common.stored(marked.join(open_, "token", "left_semi"), "open")
+        if turn < ROUNDS:
+            found = verify(stars(open_, percent, turn), texts.select("key", "t"), n, percent, f"star-{turn}")
+        else:
+            a, b = (open_.select("token", *_side(s)) for s in "ab")
+            found = verify(meet(a.join(b, "token").where((F.col("ca") != F.col("cb")) & fits(percent) & alike(percent))), texts.select("key", "t"), n, percent, "rest")
+        # components stand for the links found so far
+        former = [] if near is None else [near.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))]
+        edges = found
+        for x in former:
+            edges = edges.unionByName(x)
+        near = common.stored(links.components(edges), "near")
+    out = members.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return out.select("key", "id", "n", F.coalesce("component", "rep").alias("group"))
+
+
+def join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest id that links reach, of every row."""
+    rows = common.stored(linked_rows(df, n, percent, id_col, text), "linked")
+    least = rows.groupBy("group").agg(F.min("id").alias("component_id"))
+    return rows.join(least, "group").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
