@@ -1,8 +1,8 @@
 """The corpus pipeline: documents to packed training sequences, in five stages.
 
 Each stage works on all that its predecessor kept, written as Parquet and read again; its decisions take
-effect. All but the last return the columns of documents, with n_chars as the text's length. Rows of equal id are
-one document from the near-duplicate stage on; a null id leaves there.
+effect. All but the last return the columns of documents, with n_chars as the text's length. Rows are told by id and
+text: a null id, or one that several texts share, costs no document.
 """
 
 from __future__ import annotations
@@ -37,10 +37,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of near copies, that with the least id stays."""
-    classes = ngram_jaccard.join(docs, SHINGLE, PERCENT)
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """N-gram Jaccard join: of each group of near copies, that with the least id stays; without ids, one of them."""
+    rows = ngram_jaccard.linked_rows(docs, SHINGLE, PERCENT)
+    first = rows.groupBy("group").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("_key")).select("_key")
+    keyed = docs.withColumn("_key", ngram_jaccard.row_key("doc_id", "text"))
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
