@@ -41,7 +41,10 @@ def test_line_dedup(spark):
         x, y = lines[a[0]][a[1] :], lines[b[0]][b[1] :]
         n = next((k for k, (p, q) in enumerate(zip(x, y)) if p[1] != q[1]), min(len(x), len(y)))
         if sum(z[2] for z in y[:n]) >= 50:
-            gone[b[0]].update(z[0] for z in y[:n])
+            # of a run that overlaps its own first copy, that copy stays
+            m = next(k for k in range(1, n + 1) if sum(z[2] for z in y[:k]) >= 50)
+            kept = min((p[1] for p in places if p[0] == b[0] and [z[1] for z in lines[b[0]][p[1] : p[1] + m]] == [z[1] for z in y[:m]]), default=0)
+            gone[b[0]].update(z[0] for k, z in enumerate(y[:n]) if a[0] != b[0] or b[1] + k >= kept + m)
     for d, t in enumerate(texts):
         assert found[d].text == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]))
         assert (found[d].n_lines, found[d].n_deleted) == (len(lines[d]), len(gone[d]))
@@ -179,6 +182,18 @@ def test_ngram_jaccard_of_a_hot_group(spark):
     ngram_jaccard.PAIR_COST = 8
 
 
+def test_line_dedup_keeps_the_first_of_overlapping_copies(spark):
+    line = "one two three four five six seven eight nine ten"
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "\n".join([line] * 10)), (None, "x " * 60), (None, None), (big + 1, line * 2000)], "doc_id long, text string")
+    for most in (2_000_000, 3, 0):
+        line_dedup.BROADCAST = most
+        found = {r.doc_id: r for r in line_dedup.dedup(df).collect() if r.doc_id}
+        assert found[big].text == "\n".join([line] * 5) and found[big].n_deleted == 5 and found[big + 1].n_deleted == 0
+    line_dedup.BROADCAST = 2_000_000
+    assert line_dedup.dedup(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (40, 40)]
     found = dict(rows(links.components(spark.createDataFrame(edges, "a long, b long"))))

@@ -36,7 +36,7 @@ END_ID = 2
 #: Pieces an island holds at a time, individuals, generations and rounds.
 ISLAND, POPULATION, GENERATIONS, ROUNDS = 4096, 4, 3, 3
 
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(df: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -54,7 +54,9 @@ def pieces(df: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
                     rows.append((doc_id, k, end - len(part), len(part), zlib.crc32(part.tobytes()), *([part.astype("i4")] if with_ids else ())))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else ())])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, PIECE + ", ids array<int>" * with_ids)
+    # ids pass Python as text: a null among them would turn numbers into floats
+    found = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, PIECE + ", ids array<int>" * with_ids)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class Bins:

@@ -2,7 +2,8 @@
 
 A text is its sequence of \\n-split lines that have a word. A run is a stretch of lines of one text with
 `least_words` words or more; it is repeated if the same lines stand somewhere earlier, in the order of
-(doc_id, line). Every line that a repeated run covers is deleted, so the first copy of everything stays.
+(doc_id, line). Every line that a repeated run covers is deleted, but where a run overlaps its own first copy: the lines
+of that copy stay for its sake. A line of a first copy goes only if it belongs to another run that stands earlier.
 
 1. Line ids are ranks of the lines that occur twice or more; only these take part further on.
 2. Prefix doubling: the rank of 2**(k+1) lines from a place on is that of the pair (rank of 2**k lines there,
@@ -15,7 +16,9 @@ A text is its sequence of \\n-split lines that have a word. A run is a stretch o
 4. The lines covered are gathered by document and filtered out.
 
 Hot lines: ranks are counted with partial aggregation and met again in sort-merge joins, which Spark splits; no
-group is collected. Each level is written to the shared folder. Ids of lines and documents are 64-bit hashes.
+group is collected. Each level is written to the shared folder. Ids of lines and documents are 64-bit hashes: lines that
+collide count as equal, with a chance of n * n / 2**65 among n distinct lines. Texts without deletions are not moved while
+the deletions are few enough to be broadcast, which is checked.
 
 Defined cases: null texts stay null, empty ones empty; a text all of whose lines are copies becomes empty; rows
 with equal id and text are one document and treated alike; a null id sorts first; an empty table gives no rows;
@@ -36,6 +39,8 @@ from pyspark.sql.window import Window
 from . import common
 
 LEAST_WORDS = 50
+#: Numbers (ids of documents, line numbers) that are broadcast at most.
+BROADCAST = 2_000_000
 
 
 def _places(batches: Iterator[pd.DataFrame], least_words: int) -> Iterator[pd.DataFrame]:
@@ -71,7 +76,9 @@ def _ranked(places: DataFrame, by: list[str], name: str) -> DataFrame:
 
 def repeated_lines(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(rid, line) of every line of a later copy; df: rid, doc_id, text."""
-    places = df.mapInPandas(lambda batches: _places(batches, least_words), "rid long, doc_id long, i int, line int, h long, on int, back int")
+    # ids pass Python as text: a null among them would turn numbers into floats
+    found = df.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(lambda batches: _places(batches, least_words), "rid long, doc_id string, i int, line int, h long, on int, back int")
+    places = found.withColumn("doc_id", F.col("doc_id").cast("long"))
     places = _ranked(common.stored(places.dropDuplicates(["rid", "i"]), "places"), ["h"], "level-0").drop("h")
     spot = Window.partitionBy("rid").orderBy("i")
     levels, k = [places.select("rid", "i", "rank")], 0
@@ -97,7 +104,8 @@ def repeated_lines(df: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     keyed = common.stored(keyed.select("rid", "m", "head", "tail", F.struct("doc_id", "rid", "i").alias("place")), "keyed")
     first = keyed.groupBy("m", "head", "tail").agg(F.min("place").alias("first"))
     later = keyed.join(first, ["m", "head", "tail"]).where("place > first")
-    covered = later.select("rid", F.explode(F.sequence(F.col("place.i"), F.col("place.i") + F.col("m") - 1)).alias("i")).distinct()
+    start = F.when(F.col("place.rid") == F.col("first.rid"), F.greatest(F.col("place.i"), F.col("first.i") + F.col("m"))).otherwise(F.col("place.i"))
+    covered = later.select("rid", F.explode(F.sequence(start, F.col("place.i") + F.col("m") - 1)).alias("i")).distinct()
     return covered.join(places.select("rid", "i", "line"), ["rid", "i"]).select("rid", "line")
 
 
@@ -113,9 +121,21 @@ def dedup(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id",
     lines = F.split(F.col(text), "\n")
     n_lines = F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: x.rlike(common.WORD)))
     kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    out = keyed.join(gone, "_rid", "left").withColumns({"n_lines": n_lines.cast("long"), "n_deleted": F.coalesce(F.size(F.coalesce("_gone", F.array().cast("array<int>"))), F.lit(0)).cast("long"), text: kept})
+    out = _met(keyed, gone).withColumns({"n_lines": n_lines.cast("long"), "n_deleted": F.coalesce(F.size(F.coalesce("_gone", F.array().cast("array<int>"))), F.lit(0)).cast("long"), text: kept})
     return out.drop("_rid", "_gone")
 
 
+def _met(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """keyed with _gone; texts move only if they have deletions that are too many to be broadcast, or if even their ids are."""
+    documents, lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
+    if 2 * documents + lines <= BROADCAST:
+        return keyed.join(F.broadcast(gone), "_rid", "left")
+    if documents > BROADCAST:
+        return keyed.join(gone, "_rid", "left")
+    ids = F.broadcast(gone.select("_rid"))
+    touched = keyed.join(ids, "_rid", "left_semi").join(gone, "_rid")
+    return touched.unionByName(keyed.join(ids, "_rid", "left_anti").withColumn("_gone", F.lit(None).cast("array<int>")))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
