@@ -274,6 +274,34 @@ def test_packing(spark):
     assert len({r["sequence_id"] for r in out}) <= -(-total // 1024) + 2
 
 
+def test_packing_keeps_null_and_large_ids(spark):
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(big, "a b"), (None, "c"), (big, "a b"), (5, None)], "doc_id long, text string").withColumn("offset", F.lit("clash"))
+    out = best_fit_packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json"))
+    assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 5, big, big]
+    assert best_fit_packing.pack_documents(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_packing_evolves(spark):
+    """Fewer bins than best fit over descending lengths where that is not at the bound, from migrated bins too."""
+    saved = 0
+    for seed in range(30):
+        rng = random.Random(seed)
+        sizes = []
+        for _ in range(40):
+            a = rng.randrange(200, 500)
+            b = rng.randrange(150, 1000 - a - 100)
+            sizes += [a, b, 1000 - a - b]
+        plain = best_fit_packing.fill(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000)
+        best = best_fit_packing.evolve(sizes, 1000)
+        again = best_fit_packing.evolve(sizes, 1000, [best.items[k] for k in best_fit_packing.well_filled(best)])
+        for bins in (best, again):
+            assert sorted(i for x in bins.items for i in x) == list(range(len(sizes))) and all(sum(sizes[i] for i in x) + room == 1000 for x, room in zip(bins.items, bins.room))
+        assert len(again.items) <= len(best.items) <= len(plain.items)
+        saved += len(plain.items) - len(again.items)
+    assert saved > 0
+
+
 def test_encoder_is_the_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, t = tokens.encoder(path), Tokenizer.from_file(path)

@@ -3,12 +3,15 @@
 A document becomes the tokenizer's ids and an end id. Only documents longer than a sequence are cut, from the
 end, so that all pieces but the first are full. The pieces are dealt evenly over islands (tasks; never by a
 key), each of which evolves packings of its own pieces:
-  individual  a list of bins, made by best fit over a noisy descending order of lengths;
+  individual  a list of bins: by best fit over descending or noisy descending lengths, or the migrated bins and best fit;
   crossover   whole well-filled bins of one parent go into the other, bins there that hold one of their pieces
               are dissolved, displaced pieces are placed again by best fit, longest first;
-  selection   fewest bins, then most uneven fill; the best individual always survives.
-Migration: after each round the elite bins (exactly full) are final, and all other bins dissolve and
-move to fewer, newly mixed islands, until a last round on what is left.
+  mutation    the least filled bins of a child dissolve; a displaced piece takes the place of a shorter one where it fills a
+              bin better, and the shorter one is placed instead;
+  selection   fewest bins, then most uneven fill; the best individual always survives. An island stops at the least number.
+Migration: after each round the exactly full bins are final. The other well-filled bins of an island's best individual are
+its elite: they travel whole, are dealt over the next islands, and seed individuals there. All other bins dissolve, and
+the pieces are dealt anew, until a last round on what is left.
 
 Every round is written to the shared folder, so a lost executor repeats a task of one round, with the same
 result: dealing is by position in written files and the random numbers depend on the island's pieces alone.
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +38,7 @@ from . import common, tokens
 LENGTH = 1024
 END_ID = 2
 #: Pieces an island holds at a time, individuals, generations and rounds.
-ISLAND, POPULATION, GENERATIONS, ROUNDS = 4096, 4, 3, 3
+ISLAND, POPULATION, GENERATIONS, ROUNDS = 4096, 5, 8, 3
 
 PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
@@ -98,12 +102,15 @@ def fill(order: list[int], sizes: list[int], capacity: int, start: Bins | None =
     return bins
 
 
+def well_filled(bins: Bins) -> list[int]:
+    return [k for k, room in enumerate(bins.room) if room * 50 <= bins.capacity]
+
+
 def cross(mother: Bins, father: Bins, sizes: list[int], rng: random.Random) -> Bins:
-    """The mother with a random half of the father's well-filled bins; displaced items are placed anew."""
-    well = [k for k, room in enumerate(father.room) if room * 50 <= father.capacity]
-    given = rng.sample(well, len(well) // 2)
+    """The mother with a random half of the father's well-filled bins, mutated; displaced items are placed anew."""
+    well = well_filled(father)
     child, inside, displaced = Bins(mother.capacity), set(), []
-    for k in given:
+    for k in rng.sample(well, len(well) // 2):
         child.add([*father.items[k]], father.room[k])
         inside.update(father.items[k])
     for items, room in zip(mother.items, mother.room, strict=True):
@@ -111,16 +118,41 @@ def cross(mother: Bins, father: Bins, sizes: list[int], rng: random.Random) -> B
             child.add([*items], room)
         else:
             displaced += [i for i in items if i not in inside]
-    displaced.sort(key=lambda i: -sizes[i])
-    return fill(displaced, sizes, mother.capacity, child)
-
-
-def evolve(sizes: list[int], capacity: int, population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
+    return mutated(child, displaced, sizes, rng)
+
+
+def mutated(bins: Bins, loose: list[int], sizes: list[int], rng: random.Random, dissolved: int = 3, tries: int = 20) -> Bins:
+    """bins with the least filled ones dissolved and all loose items placed: in exchange for a shorter one if that fills a bin better, else by best fit."""
+    worst = set(sorted(range(len(bins.items)), key=lambda k: -bins.room[k])[:dissolved])
+    kept = [(items, room) for k, (items, room) in enumerate(zip(bins.items, bins.room, strict=True)) if k not in worst]
+    loose = loose + [i for k in worst for i in bins.items[k]]
+    open_ = [k for k, (_, room) in enumerate(kept) if room]
+    for n, item in enumerate(loose):
+        for k in rng.sample(open_, min(tries, len(open_))):
+            items, room = kept[k]
+            spot = next((j for j, other in enumerate(items) if 0 < sizes[item] - sizes[other] <= room), None)
+            if spot is not None:
+                kept[k] = ([*items[:spot], item, *items[spot + 1 :]], room - sizes[item] + sizes[items[spot]])
+                loose[n] = items[spot]
+                break
+    out = Bins(bins.capacity)
+    for items, room in kept:
+        out.add(items, room)
+    return fill(sorted(loose, key=lambda i: -sizes[i]), sizes, bins.capacity, out)
+
+
+def evolve(sizes: list[int], capacity: int, migrated: list[list[int]] = [], population: int = POPULATION, generations: int = GENERATIONS) -> Bins:  # noqa: B006
+    """The best packing found; migrated: bins, as lists of items, that come from other islands."""
     rng = random.Random(zlib.crc32(np.asarray(sizes, dtype="<i8").tobytes()))
     n = range(len(sizes))
     everyone = [fill(sorted(n, key=lambda i: -sizes[i]), sizes, capacity)]
     least = -(-sum(sizes) // capacity)
-    while len(everyone) < population and len(everyone[0].items) > least:
+    if migrated and len(everyone[0].items) > least:
+        seeded, inside = Bins(capacity), {i for items in migrated for i in items}
+        for items in migrated:
+            seeded.add([*items], capacity - sum(sizes[i] for i in items))
+        everyone.append(fill(sorted((i for i in n if i not in inside), key=lambda i: -sizes[i]), sizes, capacity, seeded))
+    while len(everyone) < population and min(len(x.items) for x in everyone) > least:
         noisy = [s * rng.uniform(0.7, 1) for s in sizes]
         everyone.append(fill(sorted(n, key=lambda i: -noisy[i]), sizes, capacity))
     for _ in range(generations):
@@ -135,38 +167,45 @@ def evolve(sizes: list[int], capacity: int, population: int = POPULATION, genera
 def pack(items: DataFrame, length: int = LENGTH, island: int = ISLAND, rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces with a length of at most `length` each."""
     columns = items.columns
-    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, elite boolean"
-    rest, done = items, []
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, room long"
+    rest, done = items.withColumn("_bin", F.lit(None).cast("long")), []
     for k in range(rounds):
-        n = rest.count()
+        n = max(1, -(-rest.count() // island))
 
-        def islands(batches: Iterator[pd.DataFrame], k: int = k) -> Iterator[pd.DataFrame]:
+        def islands(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
             made = 0
             for batch in batches:
-                for at in range(0, len(batch), island):
-                    own = batch.iloc[at : at + island]
-                    bins = evolve([int(x) for x in own["length"]], length)
-                    order = [i for items in bins.items for i in items]
-                    out = own.iloc[order].copy()
-                    counts = [len(items) for items in bins.items]
-                    sizes = out["length"].to_numpy()
-                    ends = np.cumsum(sizes)
-                    firsts = np.cumsum([0, *counts[:-1]])
-                    starts = ends - sizes
-                    out["offset"] = starts - np.repeat(starts[firsts], counts)
-                    out["sequence_id"] = (k << 58) + (TaskContext.get().partitionId() << 32) + made + np.repeat(np.arange(len(counts)), counts)
-                    out["elite"] = np.repeat(np.asarray(bins.room) == 0, counts)
+                for at in range(0, batch.num_rows, island):
+                    own = batch.slice(at, island)
+                    sizes = own.column("length").to_numpy(zero_copy_only=False)
+                    groups: dict[int, list[int]] = {}
+                    for i, b in enumerate(own.column("_bin").to_pylist()):
+                        if b is not None:
+                            groups.setdefault(b, []).append(i)
+                    bins = evolve(sizes.tolist(), length, [*groups.values()])
+                    order = np.asarray([i for x in bins.items for i in x], dtype="i8")
+                    counts = [len(x) for x in bins.items]
+                    ends = np.cumsum(sizes[order])
+                    starts = ends - sizes[order]
+                    offset = starts - np.repeat(starts[np.cumsum([0, *counts[:-1]])], counts)
+                    number = (k << 58) + (TaskContext.get().partitionId() << 32) + made + np.repeat(np.arange(len(counts)), counts)
                     made += len(counts)
-                    yield out[[*columns, "sequence_id", "offset", "elite"]]
-
-        packed = common.stored(rest.repartition(max(1, -(-n // island))).mapInPandas(islands, out_schema), f"packed-{k}")
+                    taken = own.take(pa.array(order))
+                    added = [number.astype("i8"), offset.astype("i8"), np.repeat(np.asarray(bins.room, dtype="i8"), counts)]
+                    yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in columns), *map(pa.array, added)], names=[*columns, "sequence_id", "offset", "room"])
+
+        # a bin's pieces are dealt together, loose ones each by itself
+        key = F.coalesce(F.col("_bin"), F.monotonically_increasing_id())
+        dealt = rest.withColumn("_key", key).repartition(n, F.xxhash64("_key")).sortWithinPartitions(F.xxhash64("_key"), "_key").drop("_key")
+        packed = common.stored(dealt.mapInArrow(islands, schema), f"packed-{k}")
         last = k == rounds - 1
-        done.append(packed if last else packed.where("elite"))
-        rest = packed.where("not elite").select(*columns)
+        done.append(packed if last else packed.where("room = 0"))
+        elite = F.when(F.col("room") * 50 <= length, F.col("sequence_id"))
+        rest = packed.where("room > 0").withColumn("_bin", elite).select(*columns, "_bin")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("elite")
+    return out.drop("room")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
