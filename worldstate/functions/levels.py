@@ -30,6 +30,17 @@ def coerce(level: Column, default: str, levels: list[str] = SEVERITY) -> Column:
 
 
 def clamp_severity(severity: Column, evidence: Column, importance: Column) -> Column:
-    """Severity that evidence and the area's importance allow."""
+    """Severity that evidence and the area's importance allow; an unknown one counts as medium."""
+    severity = coerce(severity, "medium")
     most = F.when((evidence == "unverified") | (importance == "low"), rank(F.lit("medium"))).when(evidence == "single_source", rank(F.lit("high"))).otherwise(rank(F.lit("critical")))
     return F.element_at(F.array(*map(F.lit, SEVERITY)), F.least(rank(severity), most) + 1)
+
+
+def clamp_notes(severity: Column, evidence: Column, importance: Column) -> Column:
+    """Why a severity was lowered, in order."""
+    own, medium = coerce(severity, "medium"), SEVERITY.index("medium")
+    first = (evidence == "unverified") & (rank(own) > medium)
+    second = (evidence == "single_source") & (own == "critical")
+    left = F.when(first, medium).when(second, SEVERITY.index("high")).otherwise(rank(own))
+    notes = [(first, "unverified: medium at most"), (second, "single source: high at most"), ((importance == "low") & (left > medium), "area of low importance: medium at most")]
+    return F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in notes)))

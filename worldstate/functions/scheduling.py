@@ -13,7 +13,7 @@ def next_interval(base: Column, current: Column, outcome: Column, failures: Colu
     base = F.greatest(base, F.lit(5))
     calm = F.least(F.floor(F.greatest(current, base) * 1.5), base * 4, F.lit(10080))
     failing = F.least(base * F.pow(F.lit(2.0), F.least(failures, F.lit(5))), F.lit(2880))
-    return F.when(~is_page | outcome.isin("changed", "baseline"), base).when(outcome == "unchanged", calm).otherwise(failing).cast("long")
+    return F.when(~is_page | outcome.isin("changed", "baseline"), base).when(outcome.isin("unchanged", "not_modified"), calm).otherwise(failing).cast("long")
 
 
 def retry_delay(attempt: Column) -> Column:

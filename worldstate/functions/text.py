@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: English function words that a search leaves out.
-STOPWORDS = "a an and are as at be by did do does for from has have how in is it its of on or our that the their they this to was we were what when where which who why will with you your".split()
+#: Words that a search leaves out.
+STOPWORDS = """
+a about above after again against all also am an and any are as at be been before being below between both but by
+can could did do does doing done during each few for from further had has have having he her here hers him his how
+i if in into is it its itself just let me more most my no nor not now of off on once only or other our ours out over
+own same she should so some such than that the their theirs them then there these they this those through to too
+under until up very was we were what when where which while who whom why will with would you your yours
+anything something everything tell show give list find know see look looking please us any much many recent
+recently lately latest new news currently current today yesterday week weeks month months year years ago since
+ever still yet happened happen happening changed change changes thing things
+""".split()
 #: Words that turn a statement round.
-NEGATIONS = "no not never none nor neither cannot without nobody nothing".split()
+NEGATIONS = "not no never none nor neither without cannot".split()
 
 
 def bound(value: Column, body) -> Column:
@@ -31,14 +40,15 @@ def name_key(s: Column) -> Column:
 
 
 def numbers(s: Column) -> Column:
-    """Distinct numbers in order of appearance, without thousands separators."""
-    found = F.regexp_extract_all(s, F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, ",", "")))
+    """Distinct numbers in order of appearance, without thousands separators; other commas and points stay."""
+    found = F.regexp_extract_all(s, F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0))
+    grouped = r"^\d{1,3}(?:,\d{2,3})+(?:\.\d+)?$"
+    return F.array_distinct(F.transform(found, lambda x: F.when(F.regexp_like(x, F.lit(grouped)), F.regexp_replace(x, ",", "")).otherwise(x)))
 
 
 def negations(s: Column) -> Column:
     """The multiset of negating words, sorted."""
-    words = F.regexp_extract_all(F.lower(F.regexp_replace(s, "n['’]t\\b", " not")), F.lit(r"\w+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.regexp_replace(s, "n['’]t\\b", " not")), F.lit(r"(?U)\w+"), F.lit(0))
     return F.array_sort(F.filter(words, lambda w: w.isin(NEGATIONS)))
 
 
@@ -59,8 +69,8 @@ MASKS = [
     (r"(?iU)\b(?:[01]?\d|2[0-3]):[0-5]\d\s?[ap]\.?m\b\.?", "<TIME>"),
     (r"(?U)\b(?:[01]\d|2[0-3]):[0-5]\d\b", "<TIME>"),  # 1:10 is a ratio
     (r"(?iU)\b(?:1[0-2]|0?[1-9])\s?[ap]\.?m\b\.?", "<TIME>"),
-    (r"(?iU)\b(?:\d+|an?|one|two|three|few|several)\s*(?:s|secs?|seconds?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|wks?|weeks?|mos?|months?|y|yrs?|years?)\s+ago\b", "<AGE>"),
-    (r"(?iU)\b(?:just now|moments? ago|a moment ago|yesterday)\b", "<AGE>"),
+    (r"(?iU)\b(?:\d+|an?|one|two|three|few|several)\s*(?:s|secs?|seconds?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|wks?|weeks?|mos?|months?|y|yrs?|years?)\s+ago\b", "<RELTIME>"),
+    (r"(?iU)\b(?:just now|moments? ago|a moment ago|yesterday)\b", "<RELTIME>"),
     (r"""(?iU)(?<=[?&])(v|ver|version|rev|cb|cachebust|cache_bust|nocache|_|t|ts|timestamp)=[^&#\s"'<>]*""", "$1=<CB>"),
 ]
 #: A token of 16 characters or more that is a UUID, hex, or changes four times between digits and letters.
@@ -89,7 +99,7 @@ def dates_are_noise(s: Column) -> Column:
 def mask_volatile(s: Column, dates: bool | None = True) -> Column:
     """Parts of a line that change on every visit become markers: dates, times, ages, copyright years, cache-busters and long ids.
 
-    Dates are masked in all lines, in none, or for None in those where they are noise. Ages are marked <AGE>.
+    Dates are masked in all lines, in none, or for None in those where they are noise. Ages are marked <RELTIME>.
     """
 
     def masked(x: Column, with_dates: bool) -> Column:
@@ -132,7 +142,7 @@ def runs(words: Column, n: int) -> Column:
 
 
 def search_terms(query: Column, most: int = 12) -> Column:
-    """Distinct words of a query in order, without stop words."""
-    words = F.regexp_extract_all(F.lower(query), F.lit(r"[a-z0-9][a-z0-9.'+&-]*"), F.lit(0))
-    clean = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, "'s$", ""), r"[.'+&-]+$", ""))
-    return F.slice(F.array_distinct(F.filter(clean, lambda w: (w != "") & ~w.isin(STOPWORDS))), 1, most)
+    """Distinct words of a query in order, of two characters or more, without stop words."""
+    words = F.regexp_extract_all(F.lower(query), F.lit(r"(?U)[\p{L}\p{N}][\w.'+&-]*"), F.lit(0))
+    clean = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, r"[.'+&-]+$", ""), "'s$", ""))
+    return F.slice(F.array_distinct(F.filter(clean, lambda w: (F.length(w) >= 2) & ~w.isin(STOPWORDS))), 1, most)

@@ -6,13 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query parameters that only track a visit; besides, all that begin with utm_.
-TRACKING = "fbclid gclid dclid msclkid yclid igshid mc_cid mc_eid ref ref_src spm cmpid _ga _gl source".split()
+TRACKING = "gclid fbclid mc_cid mc_eid ref_src igshid msclkid dclid gbraid wbraid yclid twclid _hsenc _hsmi mkt_tok".split()
+
+
+#: A documented subset of the public suffixes of two labels or more, as a pattern: second levels of country domains by their
+#: usual names, and sites below which anyone can register.
+SUFFIXES = r"(?:co|com|org|net|gov|ac|edu|ne|or|go|gob|gouv|mil|sch|nic|ltd|plc|me|firm|gen|ind|res)\.[a-z]{2}|github\.io|gitlab\.io|blogspot\.com|herokuapp\.com|netlify\.app|vercel\.app|pages\.dev|web\.app|appspot\.com|wordpress\.com"
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host without port, user and final dot; the scheme may be absent."""
     rest = F.regexp_replace(F.trim(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|^//", "")
-    authority = F.regexp_extract(rest, r"^(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    authority = F.regexp_extract(rest, r"^(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
+    authority = F.regexp_replace(authority, r"^\[|\]$", "")
     return F.regexp_replace(F.lower(authority), r"\.$", "")
 
 
@@ -23,11 +29,11 @@ def path_of(url: Column) -> Column:
 
 
 def registrable_domain(url: Column) -> Column:
-    """The last two labels of a host, three below a second-level registry such as co.uk."""
+    """The last two labels of a host, three below one of SUFFIXES; numbers and single labels stay."""
     host = host_of(url)
-    deep = F.regexp_extract(host, r"([^.]+\.(?:co|com|org|net|gov|ac|edu)\.[a-z]{2})$", 1)
+    deep = F.regexp_extract(host, rf"([^.]+\.(?:{SUFFIXES}))$", 1)
     flat = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return F.when(host.rlike(r"^[0-9.]+$"), host).when(deep != "", deep).when(flat != "", flat).otherwise(host)
+    return F.when(host.rlike(r"^[0-9.]+$|:"), host).when(deep != "", deep).when(flat != "", flat).otherwise(host)
 
 
 def domain_matches(url: Column, domains: list[str]) -> Column:
@@ -38,7 +44,8 @@ def domain_matches(url: Column, domains: list[str]) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, fragment or tracking parameters, parameters sorted by name, / for an empty path."""
+    """Of a trimmed url: lower-case scheme and host, no default port, fragment or tracking parameters, parameters sorted by name, / for an empty path."""
+    url = F.trim(url)
     scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
     authority = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     port = F.when(scheme == "https", ":443").otherwise(":80")
@@ -46,7 +53,8 @@ def canonical(url: Column) -> Column:
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     name = lambda p: F.substring_index(p, "=", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.startswith(F.lower(name(p)), F.lit("utm_")) & ~F.lower(name(p)).isin(TRACKING))
+    plain = lambda p: F.lower(F.coalesce(F.try_url_decode(name(p)), name(p)))
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.startswith(plain(p), F.lit("utm_")) & ~plain(p).isin(TRACKING))
     # a stable sort by name: the place breaks ties
     keyed = F.array_sort(F.transform(kept, lambda p, i: F.struct(name(p).alias("n"), i.alias("i"), p.alias("p"))))
     args = F.array_join(F.transform(keyed, lambda x: x["p"]), "&")

@@ -291,12 +291,12 @@ def j23_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy("place", "s_name").limit(25)
 
 
-@query("WITH x AS (SELECT l_orderkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS place FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F') SELECT l_orderkey, l_suppkey, place FROM x WHERE place <= 2")
+@query("WITH x AS (SELECT l_orderkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_suppkey DESC) AS place FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F') SELECT l_orderkey, l_suppkey, place FROM x WHERE place <= 2")
 def j27_claim_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two newest pieces of evidence of each settled claim."""
     claims = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber", "l_shipdate").join(claims, "l_orderkey")
-    return feeds.newest(lines, ["l_orderkey"], [F.desc("l_shipdate"), F.desc("l_linenumber")], 2).select("l_orderkey", "l_suppkey", "place")
+    return feeds.newest(lines, ["l_orderkey"], [F.desc("l_shipdate"), F.desc("l_linenumber"), F.desc("l_suppkey")], 2).select("l_orderkey", "l_suppkey", "place")
 
 
 @query(f"WITH {OBS}, x AS (SELECT *, lag(key) OVER (PARTITION BY user_id ORDER BY \"at\", event_id) AS old FROM obs) SELECT event_id, old, key AS new FROM x WHERE old <> key")

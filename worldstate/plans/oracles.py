@@ -14,7 +14,7 @@ u AS (
 ), args AS (
   SELECT page_id, string_agg(p, '&' ORDER BY n, i) AS args
   FROM (SELECT page_id, p, i, split_part(p, '=', 1) AS n FROM (SELECT page_id, unnest(string_split(query, '&')) AS p, generate_subscripts(string_split(query, '&'), 1) AS i FROM u))
-  WHERE p <> '' AND NOT starts_with(lower(n), 'utm_') AND lower(n) NOT IN ('fbclid','gclid','dclid','msclkid','yclid','igshid','mc_cid','mc_eid','ref','ref_src','spm','cmpid','_ga','_gl','source')
+  WHERE p <> '' AND NOT starts_with(lower(n), 'utm_') AND lower(n) NOT IN ('gclid','fbclid','mc_cid','mc_eid','ref_src','igshid','msclkid','dclid','gbraid','wbraid','yclid','twclid','_hsenc','_hsmi','mkt_tok')
   GROUP BY page_id
 ), canon AS (
   SELECT u.page_id, CASE WHEN scheme = '' THEN url ELSE scheme || '://' || CASE WHEN (scheme = 'https' AND auth LIKE '%:443') OR (scheme <> 'https' AND auth LIKE '%:80') THEN regexp_replace(auth, ':(80|443)$', '') ELSE auth END
@@ -62,7 +62,7 @@ WITH s AS (
 )
 SELECT ['none', 'low', 'medium', 'high', 'critical'][least(r, most) + 1] AS severity, count(*) AS n FROM s GROUP BY ALL
 """,
-    "j8_unread": "SELECT c_mktsegment, count(*) AS n_unread FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY ALL",
+    "j8_unread": "SELECT c_mktsegment, count(*) AS n_unread FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY ALL",
     "j11_as_of_join": f"WITH {OBS} SELECT l.user_id, l.event_id, max(r.\"at\") AS matched_at, arg_max(r.key, r.\"at\") AS key FROM obs l LEFT JOIN obs r ON r.user_id = l.user_id AND r.event_type = 'view' AND r.\"at\" <= l.\"at\" WHERE l.event_type = 'purchase' GROUP BY ALL",
     "j12_nearest": f"WITH {OBS} SELECT l.user_id, l.event_id, arg_min(r.\"at\", (abs(r.\"at\" - l.\"at\"), r.\"at\")) AS matched_at FROM obs l LEFT JOIN obs r ON r.user_id = l.user_id AND r.event_type = 'purchase' AND abs(r.\"at\" - l.\"at\") <= 270000000000 WHERE l.event_type = 'signup' GROUP BY ALL",
     "j14_interval_join": f"WITH {OBS} SELECT l.user_id, l.event_id, count(*) AS n_near FROM obs l JOIN obs r ON r.user_id = l.user_id AND r.event_type = 'view' AND r.\"at\" BETWEEN l.\"at\" - 151200000000 AND l.\"at\" + 75600000000 WHERE l.event_type = 'error' GROUP BY ALL",
@@ -75,8 +75,8 @@ SELECT ['none', 'low', 'medium', 'high', 'critical'][least(r, most) + 1] AS seve
     "e6_routed_teams": "SELECT o_custkey, string_agg(DISTINCT t, ',' ORDER BY t) AS teams FROM (SELECT o_custkey, o_orderpriority AS t FROM orders UNION SELECT o_custkey, o_orderstatus FROM orders) GROUP BY ALL",
     "e12_new_since_visit": f"WITH {OBS}, v AS (SELECT *, coalesce(\"at\" > max(\"at\") FILTER (event_type = 'signup') OVER (PARTITION BY user_id), false) AS is_new FROM obs) SELECT user_id, count(*) FILTER (is_new) AS n_new, count(*) FILTER (NOT is_new) AS n_earlier FROM v GROUP BY ALL",
     "p1_quality_gate": r"SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '[^ \t\n\r]+'))::BIGINT AS n_words, CASE WHEN page_id % 17 = 0 THEN 'blocked' WHEN page_id % 19 = 0 OR n_words < 105 THEN 'degenerate' ELSE 'ok' END AS verdict FROM pages",
-    "m2_next_interval": "WITH e AS (SELECT event_id, event_type, greatest(user_id % 90, 5) AS base, event_id % 5000 AS cur, event_id % 9 AS f, user_id % 2 = 0 AS page FROM events) SELECT event_id, (CASE WHEN NOT page OR event_type NOT IN ('view', 'error') THEN base WHEN event_type = 'view' THEN least(floor(greatest(cur, base) * 1.5), base * 4, 10080) ELSE least(base * pow(2, least(f, 5)), 2880) END)::BIGINT AS minutes FROM e",
-    "f11_numbers": r"WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')) AS a FROM documents) SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|') AS numbers FROM n",
+    "m2_next_interval": "WITH e AS (SELECT event_id, event_type, greatest(user_id % 90, 5) AS base, event_id % 5000 AS cur, event_id % 9 AS f, user_id % 2 = 0 AS page FROM events) SELECT event_id, (CASE WHEN NOT page OR event_type NOT IN ('view', 'error') THEN base WHEN event_type IN ('view', 'error') AND (event_type = 'view' OR event_id % 2 = 0) THEN least(floor(greatest(cur, base) * 1.5), base * 4, 10080) ELSE least(base * pow(2, least(f, 5)), 2880) END)::BIGINT AS minutes FROM e",
+    "f11_numbers": r"WITH n AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]{1,3}(?:,[0-9]{2,3})+(?:\.[0-9]+)?') THEN replace(x, ',', '') ELSE x END) AS a FROM documents) SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|') AS numbers FROM n",
     "f13_quotes": "SELECT item_id, doc_id FROM (SELECT item_id, string_split(text, chr(10))[1] AS quote FROM benchmark) b JOIN documents d ON contains(d.text, quote) AND len(string_split(quote, ' ')) >= 5",
     "f13_quote_lines": QUOTE_LINES,
 }

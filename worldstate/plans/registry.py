@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entities
+from . import entities, rules
 from .oracles import ORACLES
 from .queries import QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | entities.QUERIES
+    return QUERIES | entities.QUERIES | rules.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | entities.ORACLES
+    return ORACLES | entities.ORACLES | rules.ORACLES
