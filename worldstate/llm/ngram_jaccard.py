@@ -10,8 +10,9 @@ none: the empty set, linked with nothing). Two documents link when 100 * |x & y|
    gives its probing prefix; the smaller one t = ceil(2 * |x| * percent / (100 + percent)), which gives its shorter
    indexed prefix. Each document takes the k with the least estimated cost: the longer prefix has more postings,
    and more of its tokens must meet before a pair is verified.
-3. Rounds of stars: in each token that holds several components, one of its representatives is paired with the others.
-   Linked pairs are contracted to components. So a group of near copies costs pairs in its number.
+3. Rounds of neighbours: in each token that holds several components, each representative is paired with the next few
+   in order of size, then in random order. Linked pairs are contracted to components. So a group of near copies that are
+   mostly linked costs pairs in its number.
 4. The pairs of a token that lie in different components are made if sizes, places in the order and sketches allow a link (a
    sketch has the parities of a set's hashes in 512 buckets, so two differ in no more bits than the sets in shingles). Those
    that share fewer than min(k, k') prefix tokens are dropped, and the rest verified. No link that could join two components is lost.
@@ -36,16 +37,17 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common, links
 
 BUCKETS, CHUNK = 1 << 20, 1 << 12
 #: Row keys that are broadcast at most, of 8 bytes each.
 BROADCAST_IDS = 2_000_000
-#: What a candidate pair costs to verify, in postings.
-PAIR_COST = 8
-#: Rounds of stars before all pairs between components are made.
-ROUNDS = 2
+#: What a candidate pair costs to verify, in rows of the join that finds it; a posting costs one, too.
+PAIR_COST = 2
+#: Rounds of neighbours before all pairs between components are made, and how many of them each has.
+ROUNDS, NEXT = 3, 8
 #: Words of 64 bits in a sketch.
 SKETCH = 8
 
@@ -136,7 +138,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 partners = np.cumsum(np.maximum(w[order] - noise, 0))
                 free = n - -(-n * percent // 100)
                 ks = np.arange(1, n - free + 1)
-                k = int(ks[np.argmin(free + ks + PAIR_COST * partners[free + ks - 1] / ks**2)])
+                k = int(ks[np.argmin(free + ks + partners[free + ks - 1] * (1 + PAIR_COST / ks**2))])
                 length, index = free + k, n - -(-2 * n * percent // (100 + percent)) + k
                 at = np.arange(length)
                 parts.append((h[order[:length]], np.full(length, key), np.full(length, n), np.full(length, k), at, at < index))
@@ -157,7 +159,9 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str)
     left, right = sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
     both = pairs.join(left, "b").join(right, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     linked = both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
-    return common.stored(linked, f"{name}-links")
+    linked = common.stored(linked, f"{name}-links")
+    common.forget(pairs, wanted, sets)
+    return linked
 
 
 def fits(percent: int) -> Column:
@@ -181,22 +185,23 @@ def meet(pairs: DataFrame) -> DataFrame:
     return counted.where("shared >= k").select("a", "b")
 
 
-SIDE = {"key": "", "n": "n", "k": "k", "at": "at", "indexed": "i", "sketch": "s", "c": "c"}
+SIDE = {"key": "", "n": "n", "k": "k", "at": "at", "indexed": "i", "c": "c"}
 
 
-def _side(s: str, prefix: str = "") -> list[Column]:
-    return [F.col(f"{prefix}{x}").alias(f"{y}{s}") for x, y in SIDE.items()]
+def _side(s: str, prefix: str = "", names: dict[str, str] = SIDE) -> list[Column]:
+    return [F.col(f"{prefix}{x}").alias(f"{y}{s}") for x, y in names.items()]
 
 
-def stars(open_: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Candidates of one representative a token, another one each turn, with those in other components."""
-    members = F.struct(*SIDE)
-    hub = open_.groupBy("token").agg(F.min_by(members, F.xxhash64("key", F.lit(turn))).alias("hub"))
-    both = open_.join(hub, "token").where("c != hub.c").select("token", members.alias("own"), "hub")
-    hub_first = F.expr("hub.n < own.n or (hub.n = own.n and hub.key < own.key)")
-    a, b = F.when(hub_first, F.col("hub")).otherwise(F.col("own")), F.when(hub_first, F.col("own")).otherwise(F.col("hub"))
+def neighbours(open_: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Candidates of each representative of a token and the NEXT ones behind it in other components: by size first, then in another random order each turn."""
+    members, order = F.struct(*SIDE), ["n", "key"] if turn == 0 else [F.xxhash64("key", F.lit(turn))]
+    by_token = Window.partitionBy("token").orderBy(*order)
+    near = open_.select("c", members.alias("own"), F.array_compact(F.array(*(F.lead(members, j).over(by_token) for j in range(1, NEXT + 1)))).alias("others"))
+    both = near.select("own", F.explode(F.filter("others", lambda x: x["c"] != F.col("c"))).alias("other"))
+    own_first = F.expr("own.n < other.n or (own.n = other.n and own.key < other.key)")
+    a, b = F.when(own_first, F.col("own")).otherwise(F.col("other")), F.when(own_first, F.col("other")).otherwise(F.col("own"))
     pairs = both.select(a.alias("x"), b.alias("y")).select(*_side("a", "x."), *_side("b", "y."))
-    return meet(pairs.where(fits(percent) & alike(percent)))
+    return meet(pairs.where(fits(percent)))
 
 
 def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,9 +217,10 @@ def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc
     postings = common.stored(prefixes(sets, bucket_counts(scanned), percent), "postings")
     # most tokens occur once, or are indexed nowhere: they leave by a count of the bare tokens, before any wider row moves
     several = postings.groupBy("token").agg(F.count("*").alias("c"), F.max("indexed").alias("i")).where("c > 1 and i").select("token")
-    met = common.stored(postings.join(several, "token", "left_semi"), "several")
-    sketches = prints.select("key", "sketch").join(reps, "key", "left_semi").dropDuplicates(["key"])
-    met = common.stored(met.distinct().join(sketches, "key"), "met")
+    often = common.stored(postings.join(several, "token", "left_semi"), "several")
+    common.forget(postings)
+    met = common.stored(often.join(reps, "key", "left_semi").distinct(), "met")
+    common.forget(often)
 
     edges, near = None, None
     for turn in range(ROUNDS + 1):
@@ -222,10 +228,14 @@ def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc
         open_ = marked.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
         open_ = common.stored(marked.join(open_, "token", "left_semi"), "open")
         if turn < ROUNDS:
-            found = verify(stars(open_, percent, turn), texts.select("key", "t"), n, percent, f"star-{turn}")
+            found = verify(neighbours(open_, percent, turn), texts.select("key", "t"), n, percent, f"near-{turn}")
         else:
-            a, b = (open_.select("token", *_side(s)) for s in "ab")
+            # sketches are wide, so they come only to the postings that the rounds have left
+            with_sketch = common.stored(open_.join(prints.select("key", "sketch").dropDuplicates(["key"]), "key"), "sketched")
+            a, b = (with_sketch.select("token", *_side(s, names=SIDE | {"sketch": "s"})) for s in "ab")
             found = verify(meet(a.join(b, "token").where((F.col("ca") != F.col("cb")) & fits(percent) & alike(percent))), texts.select("key", "t"), n, percent, "rest")
+            common.forget(with_sketch)
+        common.forget(open_)
         # components stand for the links found so far
         former = [] if near is None else [near.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))]
         edges = found
