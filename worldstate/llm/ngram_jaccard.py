@@ -222,11 +222,20 @@ def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc
     met = common.stored(often.join(reps, "key", "left_semi").distinct(), "met")
     common.forget(often)
 
-    edges, near = None, None
+    edges, near, left = None, None, met
     for turn in range(ROUNDS + 1):
-        marked = met.withColumn("c", F.col("key")) if near is None else met.join(near.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+        if near is None:
+            marked = left.withColumn("c", F.col("key"))
+        else:
+            # components of a checked number are broadcast, so that no posting moves
+            by_key = near.select(F.col("node").alias("key"), "component")
+            by_key = F.broadcast(by_key) if near.count() <= BROADCAST_IDS else by_key
+            marked = left.drop("c").join(by_key, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
         open_ = marked.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
         open_ = common.stored(marked.join(open_, "token", "left_semi"), "open")
+        # a token whose representatives lie in one component stays closed
+        common.forget(left)
+        left = open_
         if turn < ROUNDS:
             found = verify(neighbours(open_, percent, turn), texts.select("key", "t"), n, percent, f"near-{turn}")
         else:
@@ -235,7 +244,6 @@ def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc
             a, b = (with_sketch.select("token", *_side(s, names=SIDE | {"sketch": "s"})) for s in "ab")
             found = verify(meet(a.join(b, "token").where((F.col("ca") != F.col("cb")) & fits(percent) & alike(percent))), texts.select("key", "t"), n, percent, "rest")
             common.forget(with_sketch)
-        common.forget(open_)
         # components stand for the links found so far
         former = [] if near is None else [near.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))]
         edges = found
