@@ -153,11 +153,11 @@ def g20_usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(F.count("*").alias("calls"), F.sum(F.col("l_quantity").cast("long")).alias("tokens"), F.sum(cents("l_extendedprice")).alias("cost"))
 
 
-@query("SELECT l_orderkey, arg_max(l_partkey, (l_extendedprice, -l_linenumber)) AS lead, epoch_us(min(l_shipdate)) AS since FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, arg_max(l_partkey, (l_extendedprice, -l_linenumber, l_partkey)) AS lead, epoch_us(min(l_shipdate)) AS since FROM lineitem GROUP BY 1")
 def g21_lead_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A story's lead is its first item of the highest rank, its date the earliest."""
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate")
-    found = lines.groupBy("l_orderkey").agg(F.max_by("l_partkey", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("lead"), F.min("l_shipdate").alias("first"))
+    found = lines.groupBy("l_orderkey").agg(F.max_by("l_partkey", F.struct("l_extendedprice", -F.col("l_linenumber"), "l_partkey")).alias("lead"), F.min("l_shipdate").alias("first"))
     return found.select("l_orderkey", "lead", micros("first").alias("since"))
 
 
@@ -209,11 +209,11 @@ def g29_plan_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("o_orderkey").agg(F.count_if(~F.col("new").eqNullSafe(F.col("old"))).alias("n_edits"))
 
 
-@query("SELECT o_orderkey, c_custkey, c_name, last FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, arg_max(l_partkey, (l_shipdate, l_linenumber)) AS last FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+@query("SELECT o_orderkey, c_custkey, c_name, last FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, arg_max(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS last FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def j2_fact_with_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts with their entity and, if there is one, their current version."""
     orders, entity = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), table(spark, sf_dir, "customer", "c_custkey", "c_name")
-    current = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_shipdate", "l_linenumber").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max_by("l_partkey", F.struct("l_shipdate", "l_linenumber")).alias("last"))
+    current = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_shipdate", "l_linenumber").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max_by("l_partkey", F.struct("l_shipdate", "l_linenumber", "l_partkey")).alias("last"))
     return orders.join(entity, F.col("o_custkey") == F.col("c_custkey")).join(current, "o_orderkey", "left").select("o_orderkey", "c_custkey", "c_name", "last")
 
 
@@ -322,9 +322,9 @@ def w10_latest_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier", "s_nationkey", "s_suppkey", "s_acctbal").where("s_acctbal > 0").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("version"))
 
 
-@query("SELECT l_orderkey, arg_min(l_partkey, (l_shipdate, l_linenumber)) AS claim FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, arg_min(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS claim FROM lineitem GROUP BY 1")
 def w11_primary_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_shipdate", "l_linenumber").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_shipdate", "l_linenumber")).alias("claim"))
+    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_shipdate", "l_linenumber").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_shipdate", "l_linenumber", "l_partkey")).alias("claim"))
 
 
 @query("SELECT c_nationkey, CASE WHEN count(*) FILTER (c_acctbal > 9900) = 0 THEN min(c_custkey) END AS promoted, count(*) FILTER (c_acctbal > 9900) AS owners FROM customer GROUP BY 1")
