@@ -331,6 +331,35 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(uses["ab"], 0.2 * 0.25 / want) and np.isclose(sum(len(p) * x for p, x in uses.items()), 3)
 
 
+def test_forward_is_not_cut_in_long_words():
+    table = {"▁": [0.2, 0.1], "a": [0.3, 0.2], "b": [0.1, 0.4], "ab": [0.25, 1e-6], "▁a": [0.15, 0.3], "bbab": [0.05, 1e-5]}
+    rng = random.Random(9)
+    long = "".join(rng.choice("abbc") for _ in range(2000))
+    words = ["ab", long, "é", long[:41], long[1:]]
+    found = language_id.Forward(table, 2)(words)
+    for k, word in enumerate(words):
+        for lang in range(2):
+            # the plain recursion, with a number that is kept near 1
+            part, sums, shift = "▁" + word, [1.0], 0.0
+            for j in range(1, len(part) + 1):
+                here = 0.0
+                for n in range(1, 5):
+                    if n <= j:
+                        here += sums[-n] * table.get(part[j - n : j], [language_id.UNKNOWN if n == 1 else 0.0] * 2)[lang]
+                sums = [x / here for x in sums[-4:]] + [1.0]
+                shift += np.log(here)
+            assert np.isclose(found[k, lang], shift)
+    uses = language_id.expected(long, {p: v[0] for p, v in table.items()}, language_id.prefixes(list(table)))
+    assert np.isclose(sum(len(p) * x for p, x in uses.items()), 2001 - long.count("c"))
+
+
+def test_language_query_on_held_out_documents(spark):
+    out = language_id.op9_language_id(spark, "/root/testdata/sf0.01")
+    truth = common.table(spark, "/root/testdata/sf0.01", "documents").where("lang is not null").select("doc_id", "lang")
+    right = out.where("held_out").join(truth, "doc_id").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.98
+
+
 def test_byte_bpe(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = byte_bpe.read_ranks(path)
@@ -345,13 +374,3 @@ def test_byte_bpe(spark):
     for r in out.collect():
         assert list(r.ids) == library.encode_ordinary(texts[r.doc_id] or ""), repr(texts[r.doc_id])
         assert bytes(r.bytes) == (texts[r.doc_id] or "").encode()
-
-
-def test_join_hot_keeps_all(spark):
-    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 99), (None, 7)], "k int, v int")
-    right = spark.createDataFrame([(1, "a")], "k int, w string")
-    assert common.join_hot(left, right, ["k"], left.groupBy("k").agg(F.count("*").alias("n"))).count() == 52
-
-
-if __name__ == "__main__":
-    pytest.main([__file__])

@@ -1,4 +1,4 @@
-"""What the training-data operators share: tables, shared storage, hot keys."""
+"""What the training-data operators share: tables, shared storage, expressions."""
 
 from __future__ import annotations
 
@@ -17,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (local tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir; where none is set a temporary one on a local master, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         shared_dir.local = base
@@ -59,20 +61,3 @@ def let(value: Column, body) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z only: other letters stay, as lower() maps some of them to several characters."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def join_hot(left: DataFrame, right: DataFrame, key: list[str], counts: DataFrame, share: int = 2000, how: str = "left") -> DataFrame:
-    """Join on key, with keys that hold over 1/share of the counted rows joined by broadcast.
-
-    counts has the key and its number of rows of left in `n`; right has one row a key. Fewer than `share`
-    keys can hold over 1/share of all rows, which bounds what is broadcast; the rest is an even shuffle.
-    """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") > F.lit(max(1000, total // share))).select(*key)
-    names = [c for c in right.columns if c not in key]
-    hot_right = right.join(F.broadcast(hot), key, "left_semi")
-    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    few = marked.where("_hot").drop("_hot").join(F.broadcast(hot_right), key, how)
-    rest = marked.where("_hot is null").drop("_hot").join(right, key, how)
-    cols = [*left.columns, *names]
-    return few.select(*cols).unionByName(rest.select(*cols))

@@ -11,14 +11,15 @@ numbers. At most about `per_language` labelled documents a language are used, ch
 documented bound of the fit); every document is scored on its whole text.
 
 Defined cases: texts that are null or have no letter are `und` with score 0, as are all if nothing is labelled;
-words over 40 letters are scored in stretches of 40; repeated rows are scored alike; null ids are never trained
+words of any length are summed over whole, in logarithms; repeated rows are scored alike; null ids are never trained
 on; an empty table gives no rows; columns named as the results are replaced, other columns stay.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,6 @@ ROUNDS = 2
 #: Added to each piece's expected count; the probability of a letter that no piece holds; words a task remembers.
 SMOOTH, UNKNOWN, KNOWN = 0.05, 1e-7, 500_000
 START = "▁"
-LONGEST = 40
 
 
 def words_of(text: str | None) -> list[str]:
@@ -41,10 +41,6 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in ("".join(filter(str.isalpha, w)) if not w.isalpha() else w for w in found) if w]
 
 
-def stretches(word: str) -> list[str]:
-    return [START + word] if len(word) <= LONGEST else [START * (i == 0) + word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
 def vocabulary(path: str) -> list[str]:
     """The pieces of a sentencepiece model, without control and byte pieces."""
     import sentencepiece
@@ -88,45 +84,45 @@ class Forward:
 
     def same_length(self, words: list[str]) -> np.ndarray:
         none, letter, find = len(self.rows) - 1, len(self.rows) - 2, self.number.get
-        alpha = [np.ones((len(words), self.n))]
+        # logs of the sums up to the last `longest` places; what a place adds is taken relative to the place before
+        logs = deque([np.zeros((len(words), self.n))], maxlen=self.longest)
         for j in range(1, len(words[0]) + 1):
-            now = alpha[j - 1] * self.rows[[find(w[j - 1 : j], letter) for w in words]]
-            for i in range(max(0, j - self.longest), j - 1):
-                ids = np.array([find(w[i:j], none) for w in words])
-                there = np.flatnonzero(ids != none)
-                if len(there):
-                    now[there] += alpha[i][there] * self.rows[ids[there]]
-            alpha.append(now)
-        return np.log(np.maximum(alpha[-1], 1e-300))
+            last = logs[-1]
+            now = self.rows[[find(w[j - 1 : j], letter) for w in words]]
+            for back in range(2, len(logs) + 1):
+                ids = [find(w[j - back : j], none) for w in words]
+                there = [k for k, x in enumerate(ids) if x != none]
+                if there:
+                    now[there] += np.exp(logs[-back][there] - last[there]) * self.rows[[ids[k] for k in there]]
+            logs.append(last + np.log(now))
+        return logs[-1]
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.n))
-        by_length: dict[int, list[tuple[int, str]]] = {}
+        by_length: dict[int, list[int]] = {}
         for k, word in enumerate(words):
-            for part in stretches(word):
-                by_length.setdefault(len(part), []).append((k, part))
-        for parts in by_length.values():
-            np.add.at(out, [k for k, _ in parts], self.same_length([x for _, x in parts]))
+            by_length.setdefault(len(word), []).append(k)
+        for places in by_length.values():
+            out[places] = self.same_length([START + words[k] for k in places])
         return out
 
 
 def expected(word: str, table: dict[str, float], starts: set[str]) -> dict[str, float]:
-    """Expected uses of each piece in a word's segmentations: forward-backward."""
+    """Expected uses of each piece in a word's segmentations: logs of the forward sums, then how surely each place is a cut, from the end."""
     out: dict[str, float] = {}
-    for part in stretches(word):
-        into, n = edges(part, table, starts), len(part)
-        alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        for j in range(1, n + 1):
-            alpha[j] = sum(alpha[i] * (p or UNKNOWN) for i, p in into[j])
-        for j in range(n, 0, -1):
-            for i, p in into[j]:
-                beta[i] += (p or UNKNOWN) * beta[j]
-        if alpha[n] > 0:
-            for j in range(1, n + 1):
-                for i, p in into[j]:
-                    if p:
-                        piece = part[i:j]
-                        out[piece] = out.get(piece, 0.0) + alpha[i] * p * beta[j] / alpha[n]
+    part = START + word
+    into, n = edges(part, table, starts), len(part)
+    logs, cut = [0.0], [0.0] * n + [1.0]
+    for j in range(1, n + 1):
+        last = logs[-1]
+        logs.append(last + math.log(sum((p or UNKNOWN) * math.exp(logs[i] - last) for i, p in into[j])))
+    for j in range(n, 0, -1):
+        for i, p in into[j]:
+            share = cut[j] * (p or UNKNOWN) * math.exp(logs[i] - logs[j])
+            cut[i] += share
+            if p:
+                piece = part[i:j]
+                out[piece] = out.get(piece, 0.0) + share
     return out
 
 
