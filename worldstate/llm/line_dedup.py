@@ -45,20 +45,24 @@ BROADCAST = 2_000_000
 
 def _places(batches: Iterator[pd.DataFrame], least_words: int) -> Iterator[pd.DataFrame]:
     """A row per line that has a word: its number among these (i) and in the text (line), hash, the lengths of the shortest runs from it on and up to it (0: none)."""
+    columns = ["i", "line", "h", "on", "back"]
     for batch in batches:
-        parts = []
-        for rid, doc_id, text in zip(batch["rid"], batch["doc_id"], batch["text"], strict=True):
-            found = [(r, line, n) for r, line in enumerate((text or "").split("\n")) if (n := len(line.encode().split()))]
+        counts, parts, hashes = [], [], []
+        for text in batch["text"]:
+            found = [(r, line, n) for r, line in enumerate((text or "").encode().split(b"\n")) if (n := len(line.split()))]
+            counts.append(len(found))
             if not found:
                 continue
             total = np.cumsum([0, *(n for _, _, n in found)])
             here = np.arange(len(found))
             end = np.searchsorted(total, total[:-1] + least_words)
             start = np.searchsorted(total, total[1:] - least_words, side="right") - 1
-            hashes = [int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "big", signed=True) for _, line, _ in found]
-            parts.append(pd.DataFrame({"rid": rid, "doc_id": doc_id, "i": here, "line": [r for r, _, _ in found], "h": hashes, "on": np.where(end < len(total), end - here, 0), "back": np.where(start >= 0, here + 1 - start, 0)}))
+            hashes += [hashlib.blake2b(line, digest_size=8).digest() for _, line, _ in found]
+            parts.append((here, [r for r, _, _ in found], np.where(end < len(total), end - here, 0), np.where(start >= 0, here + 1 - start, 0)))
         if parts:
-            yield pd.concat(parts)
+            here, line, on, back = (np.concatenate(x) for x in zip(*parts, strict=True))
+            places = dict(zip(columns, (here, line, np.frombuffer(b"".join(hashes), dtype=">i8").astype("i8"), on, back), strict=True))
+            yield pd.DataFrame({"rid": np.repeat(batch["rid"].to_numpy(), counts), "doc_id": np.repeat(batch["doc_id"].to_numpy(object), counts), **places})
 
 
 def _ranked(places: DataFrame, by: list[str], name: str) -> DataFrame:
