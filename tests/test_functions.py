@@ -3,7 +3,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from worldstate.functions import levels, scheduling, text, urls
+from worldstate.functions import levels, scheduling, text, urls, pages
 from worldstate.operators import diffing, evidence, matching
 from worldstate.plans import oracles, queries
 from worldstate.streaming import stateful
@@ -147,3 +147,15 @@ def test_quotes_of_all_lines(spark, tmp_path):
     for name in ("benchmark", "documents"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert set(duckdb.sql(oracles.ORACLES["f13_quote_lines"]).fetchall()) == want
+
+
+def test_pages(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    md = "# Head\n![a](b) see [the page](http://x) **now**\n|---|:--:|\n\n  two   words"
+    assert one(pages.without_markdown(F.lit(md))) == "Head\nsee the page now\ntwo words"
+    assert one(pages.paragraphs(F.lit("a\n \nb\nc\n\n\n" + "d" * 800 + "\n" + "e" * 800))) == ["a", "b\nc", "d" * 800, "e" * 800]
+    assert one(pages.challenge(F.lit("<script src=cf-chl>"), F.lit(" Just a moment"), F.lit(10))) == "just a moment"
+    assert one(pages.challenge(F.lit("a CAPTCHA"), F.lit(None).cast("string"), F.lit(79))) == "captcha"
+    assert one(pages.challenge(F.lit("a captcha"), F.lit("x"), F.lit(80))) is None
+    assert one(pages.rule_pattern(F.lit("/a.b/*c$"))) == r"^/a\.b/.*c$"
+    assert one(pages.rule_pattern(F.lit("/$x"))) == r"^/\$x"
