@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, byte_bpe, html_extraction, language_id, line_dedup, nearest_neighbours, ngram_jaccard, quality_rules, url_filters, warc
+from . import best_fit_packing, byte_bpe, embedding_whitening, fill_in_middle, html_extraction, language_id, line_dedup, nearest_neighbours, ngram_jaccard, quality_rules, substring_dedup, url_filters, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": best_fit_packing.op8_best_fit_packing,
         "op9_language_id": language_id.op9_language_id,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+        "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op12_substring_dedup": substring_dedup.op12_substring_dedup,
+        "op13_embedding_whitening": embedding_whitening.op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op4_url_filters": url_filters.SQL, "op5_quality_rules": quality_rules.SQL}
+    return {"op3_warc": warc.SQL, "op4_url_filters": url_filters.SQL, "op5_quality_rules": quality_rules.SQL, "op11_fill_in_middle": fill_in_middle.SQL}
