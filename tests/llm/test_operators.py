@@ -305,8 +305,11 @@ def test_packing_evolves(spark):
 def test_encoder_is_the_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, t = tokens.encoder(path), Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rng = random.Random(7)
+    assert own("a<|endoftext|>b") == [64, 50256, 65]
+    for _ in range(300):
+        text = "".join(rng.choice(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "a b", "!", "<|"]) for _ in range(rng.randrange(9)))
+        assert own(text) == t.encode(text, add_special_tokens=False).ids
     for _ in range(2000):
         text = "".join(rng.choice(" \n\t\r\x85\xa0 ab'sté1٣.,!\x1c​日<|>") for _ in range(rng.randrange(14)))
         assert own(text) == t.encode(text, add_special_tokens=False).ids
@@ -369,8 +372,32 @@ def test_byte_bpe(spark):
     texts += ["".join(rng.choice(" \n\t'sabcdeé1.!日") for _ in range(rng.randrange(60))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
     assert byte_bpe.encode(df.limit(0), path).count() == 0
-    out = byte_bpe.encode(df, path, known=20)
+    out = byte_bpe.encode(df.repartition(40), path, known=20)
     out = out.withColumn("bytes", byte_bpe.decode(F.col("ids"), ranks))
     for r in out.collect():
         assert list(r.ids) == library.encode_ordinary(texts[r.doc_id] or ""), repr(texts[r.doc_id])
         assert bytes(r.bytes) == (texts[r.doc_id] or "").encode()
+
+
+def test_empty_partitions(spark):
+    """More partitions than rows, so that most tasks have no row."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "a b c d e f g", "en"), (2, None, None), (3, "the house\nthe house", "en")], "doc_id long, text string, lang string").repartition(40)
+    assert byte_bpe.encode(docs, path).count() == 3
+    assert line_dedup.dedup(docs).count() == 3
+    assert ngram_jaccard.linked_rows(docs, 4, 85).count() == 3
+    assert best_fit_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 3
+    assert language_id.fit_and_predict(docs, docs).count() == 3
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a/b").alias("url"), F.col("text").alias("html"))
+    assert html_extraction.extract(pages).count() == 3
+    vectors = docs.select(F.col("doc_id").alias("vec_id"), F.array(F.col("doc_id").cast("float"), F.lit(1.0)).alias("embedding"))
+    assert nearest_neighbours.search(vectors, F.lit(True), 2).count() == 6
+
+
+def test_packing_does_not_follow_arrow_batches(spark):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": [*range(k, k + n)]}) for k, n in ((0, 3), (3, 10), (13, 1), (14, 6))]
+    cut = [b.column("x").to_pylist() for b in best_fit_packing.islands_of(iter(batches), 5)]
+    assert cut == [[*range(k, k + 5)] for k in range(0, 20, 5)]
+    assert [b.num_rows for b in best_fit_packing.islands_of(iter(batches[:2]), 5)] == [5, 5, 3]

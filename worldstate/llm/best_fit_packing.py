@@ -1,8 +1,8 @@
 """Best-fit packing: token pieces into sequences of bounded length by a grouping genetic algorithm on islands.
 
 A document becomes the tokenizer's ids and an end id. Only documents longer than a sequence are cut, from the
-end, so that all pieces but the first are full. The pieces are dealt evenly over islands (tasks; never by a
-key), each of which evolves packings of its own pieces:
+end, so that all pieces but the first are full. The pieces are dealt evenly over tasks (never by a
+key), which cut theirs into islands, each of which evolves packings of its own pieces:
   individual  a list of bins: by best fit over descending or noisy descending lengths, or the migrated bins and best fit;
   crossover   whole well-filled bins of one parent go into the other, bins there that hold one of their pieces
               are dissolved, displaced pieces are placed again by best fit, longest first;
@@ -39,6 +39,8 @@ LENGTH = 1024
 END_ID = 2
 #: Pieces an island holds at a time, individuals, generations and rounds.
 ISLAND, POPULATION, GENERATIONS, ROUNDS = 4096, 5, 8, 3
+#: Tasks of a round for each core, at most.
+TASKS = 8
 
 PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
@@ -164,35 +166,48 @@ def evolve(sizes: list[int], capacity: int, migrated: list[list[int]] = [], popu
     return max(everyone, key=Bins.fitness)
 
 
+def islands_of(batches: Iterator[pa.RecordBatch], island: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a task, `island` at a time, however Arrow has cut them."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        while n >= island:
+            whole = pa.Table.from_batches(held)
+            yield whole.slice(0, island).combine_chunks().to_batches()[0]
+            held, n = whole.slice(island).to_batches(), n - island
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def pack(items: DataFrame, length: int = LENGTH, island: int = ISLAND, rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces with a length of at most `length` each."""
     columns = items.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, room long"
     rest, done = items.withColumn("_bin", F.lit(None).cast("long")), []
     for k in range(rounds):
-        n = max(1, -(-rest.count() // island))
+        # islands are cut inside tasks, whose number follows the cores, not the rows
+        n = max(1, min(-(-rest.count() // island), TASKS * items.sparkSession.sparkContext.defaultParallelism))
 
         def islands(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
             made = 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, island):
-                    own = batch.slice(at, island)
-                    sizes = own.column("length").to_numpy(zero_copy_only=False)
-                    groups: dict[int, list[int]] = {}
-                    for i, b in enumerate(own.column("_bin").to_pylist()):
-                        if b is not None:
-                            groups.setdefault(b, []).append(i)
-                    bins = evolve(sizes.tolist(), length, [*groups.values()])
-                    order = np.asarray([i for x in bins.items for i in x], dtype="i8")
-                    counts = [len(x) for x in bins.items]
-                    ends = np.cumsum(sizes[order])
-                    starts = ends - sizes[order]
-                    offset = starts - np.repeat(starts[np.cumsum([0, *counts[:-1]])], counts)
-                    number = (k << 58) + (TaskContext.get().partitionId() << 32) + made + np.repeat(np.arange(len(counts)), counts)
-                    made += len(counts)
-                    taken = own.take(pa.array(order))
-                    added = [number.astype("i8"), offset.astype("i8"), np.repeat(np.asarray(bins.room, dtype="i8"), counts)]
-                    yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in columns), *map(pa.array, added)], names=[*columns, "sequence_id", "offset", "room"])
+            for own in islands_of(batches, island):
+                sizes = own.column("length").to_numpy(zero_copy_only=False)
+                groups: dict[int, list[int]] = {}
+                for i, b in enumerate(own.column("_bin").to_pylist()):
+                    if b is not None:
+                        groups.setdefault(b, []).append(i)
+                bins = evolve(sizes.tolist(), length, [*groups.values()])
+                order = np.asarray([i for x in bins.items for i in x], dtype="i8")
+                counts = [len(x) for x in bins.items]
+                ends = np.cumsum(sizes[order])
+                starts = ends - sizes[order]
+                offset = starts - np.repeat(starts[np.cumsum([0, *counts[:-1]])], counts)
+                number = (k << 58) + (TaskContext.get().partitionId() << 32) + made + np.repeat(np.arange(len(counts)), counts)
+                made += len(counts)
+                taken = own.take(pa.array(order))
+                added = [number.astype("i8"), offset.astype("i8"), np.repeat(np.asarray(bins.room, dtype="i8"), counts)]
+                yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in columns), *map(pa.array, added)], names=[*columns, "sequence_id", "offset", "room"])
 
         # a bin's pieces are dealt together, loose ones each by itself
         key = F.coalesce(F.col("_bin"), F.monotonically_increasing_id())

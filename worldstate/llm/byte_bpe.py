@@ -5,13 +5,15 @@ the lowest rank, the leftmost of several, until no pair is in the rank map. Insi
 (code point id + 256), so that a word under way is a short string and a merge replaces two characters by one; the
 rank map is a literal of hash buckets, each a string of pairs with what they become.
 
-Texts are first cut before single blanks, which never cuts a word (texts with blanks inside longer white space are
-cut by the pattern alone). These pieces are counted over all texts; the `known` most frequent distinct ones are folded
-once, which makes a dictionary whose size does not depend on the corpus. Arrow functions cut texts and look pieces up
-in it; a piece that is not there is cut into words, which are looked up in turn, and the words that are not there
-either are folded in the text's row. Decoding looks up each id's bytes in a literal and concatenates them.
-
-No step shuffles texts or ids; only partial piece counts move. The fold takes quadratic time in a word, so words of over
+1. Texts are cut before single blanks, which never cuts a word (texts with blanks inside longer white space are cut by the
+   pattern alone). These pieces are counted over all texts, distinct pieces are cut into words, and the counts of the
+   words are added up. The `known` most frequent distinct words are folded once, by Spark's expressions: a dictionary
+   whose size does not depend on the corpus.
+2. Arrow functions cut texts again and look their words up; what a task has found for a piece it remembers. Words beyond
+   the dictionary leave a place in the ids (a negative number) and are folded in the text's row by the same expressions.
+3. Decoding looks up each id's bytes in a literal and concatenates them.
+
+No step shuffles texts or ids; only partial counts move. The fold takes quadratic time in a word, so words of over
 LONG_WORD bytes are merged with a heap where the text is cut: the same ids by another path.
 
 Defined cases: null texts are empty; empty texts have no ids; repeated rows are encoded alike; ids outside the
@@ -25,9 +27,10 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +38,12 @@ from . import common
 
 #: The public pattern that cuts a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct pieces in the dictionary, of less than KNOWN_BYTES each; hash buckets of the rank map.
-KNOWN, KNOWN_BYTES = 1 << 19, 48
+#: Distinct words in the dictionary, of less than KNOWN_BYTES each; hash buckets of the rank map.
+KNOWN, KNOWN_BYTES = 1 << 18, 48
 BUCKETS = 1 << 17
 LONG_WORD = 1024
-#: Distinct pieces that a task counts before it passes them on.
-HELD = 500_000
+#: Distinct pieces that a task counts before it passes them on, and whose ids it remembers.
+HELD, REMEMBERED = 500_000, 1 << 18
 #: Ids as characters start here; no pair; what stands between a pair and what it becomes.
 FIRST, NONE, BECOMES = 256, "\uffff", "\ufffe"
 
@@ -55,6 +58,10 @@ def _letter(rank: int) -> str:
     return chr(FIRST + rank + (0x800 if FIRST + rank >= 0xD800 else 0))
 
 
+def _rank(letter: str) -> int:
+    return ord(letter) - FIRST - (0x800 if letter >= "\ue000" else 0)
+
+
 def pair_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     """Buckets of (two ids as characters, the id of both together), by the hash of the two."""
     if max(ranks.values()) + FIRST + 0x800 >= ord(NONE):
@@ -106,17 +113,6 @@ def fold(word: Column, pairs: Column, ranks: dict[bytes, int]) -> Column:
     return common.let(single, whole)
 
 
-def fold_all(found: Column, pairs: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids as characters of a struct of open words and of what stands before each of them and behind the last."""
-    before = F.transform(found["open"], lambda w, i: F.concat(F.get(found["done"], i), fold(w, pairs, ranks)))
-    return F.concat(F.array_join(before, ""), F.element_at(found["done"], -1))
-
-
-def _folded(found: str, spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    # found is bound outside of all loops: Spark evaluates no Python function in a loop
-    return common.let(F.col(found), lambda x: common.let(pair_table(spark, ranks), lambda p: fold_all(x, p, ranks)))
-
-
 def as_ids(letters: Column) -> Column:
     """Ids that are characters, as array<int>."""
 
@@ -144,39 +140,53 @@ class Cutter:
         return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
 
 
-FOUND = "struct<done: array<string>, open: array<string>>"
-
-
-def look_up(text: Column, known: dict[str, str], ranks: dict[bytes, int], spark: SparkSession) -> Column:
-    """FOUND for each text: ids as characters of what is known, and the words that are not."""
+class Lookup(dict):
+    """Ids of pieces, as tuples. Words that are not known get negative numbers and stand in `open`, which a text begins anew."""
+
+    def __init__(self, cutter: Cutter, known: dict[str, tuple[int, ...]], ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.cutter, self.known, self.ranks, self.open = cutter, known, ranks, []
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        out, new = [], len(self.open)
+        for word in self.cutter.words(piece):
+            ids = self.known.get(word)
+            if ids is None and len(word) > LONG_WORD // 4 and len(raw := word.encode()) > LONG_WORD:
+                ids = heap_encode(raw, self.ranks)
+            if ids is None:
+                self.open.append(word)
+                out.append(-len(self.open))
+            else:
+                out += ids
+        found = tuple(out)
+        if len(self.open) == new and len(piece) < 4 * KNOWN_BYTES:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+def look_up(df: DataFrame, text: str, known: dict[str, str], ranks: dict[bytes, int]) -> DataFrame:
+    """df with _ids array<int>, in which -k stands for the k-th word of _open array<string>."""
+    spark, columns = df.sparkSession, df.columns
     shared = spark.sparkContext.broadcast((known, ranks))
 
-    @F.pandas_udf(FOUND)
-    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cutter, (letters, by_bytes) = Cutter(), shared.value
-        for batch in texts:
-            rows = []
-            for text in batch:
-                done, open_, run = [], [], []
-                for piece in cutter.pieces(text or ""):
-                    y = letters.get(piece)
-                    if y is not None:
-                        run.append(y)
-                        continue
-                    for word in cutter.words(piece):
-                        y = letters.get(word)
-                        if y is None and len(word) > LONG_WORD // 4 and len(raw := word.encode()) > LONG_WORD:
-                            y = "".join(map(_letter, heap_encode(raw, by_bytes)))
-                        if y is None:
-                            done.append("".join(run))
-                            open_.append(word)
-                            run = []
-                        else:
-                            run.append(y)
-                rows.append(([*done, "".join(run)], open_))
-            yield pd.DataFrame(rows, columns=["done", "open"])
-
-    return found(text)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, by_bytes = shared.value
+        cutter = Cutter()
+        ids = Lookup(cutter, {word: tuple(map(_rank, x)) for word, x in letters.items()}, by_bytes)
+        for batch in batches:
+            rows, opened, ends = [], [], [0]
+            for whole in batch.column(text).to_pylist():
+                ids.open = []
+                rows.append(np.fromiter(chain.from_iterable(map(ids.__getitem__, cutter.pieces(whole or ""))), dtype=np.int32))
+                ends.append(ends[-1] + len(rows[-1]))
+                opened.append(ids.open)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(opened, pa.list_(pa.string()))], names=[*columns, "_ids", "_open"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_ids array<int>, _open array<string>"])
+    return df.mapInArrow(found, schema)
 
 
 def heap_encode(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -201,23 +211,39 @@ def heap_encode(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[raw[i : end[i]]] for i in range(len(raw)) if live[i]]
 
 
-def dictionary(df: DataFrame, text: str, ranks: dict[bytes, int], known: int = KNOWN) -> dict[str, str]:
-    """The most frequent pieces of all texts, `known` at most, with their ids as characters."""
-    spark = df.sparkSession
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """(word, n) of all texts' words of less than KNOWN_BYTES."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, seen = Cutter(), Counter()
-        rows = lambda: pd.DataFrame({"piece": [*seen.keys()], "n": [*seen.values()]})
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array([*seen.keys()], pa.string()), pa.array([*seen.values()], pa.int64())], names=["piece", "n"])
         for batch in batches:
-            for whole in batch["text"]:
+            for whole in batch.column("text").to_pylist():
                 seen.update(cutter.pieces(whole or ""))
                 if len(seen) > HELD:
                     yield rows()
                     seen.clear()
-        yield rows()
+        if seen:
+            yield rows()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter()
+        for batch in batches:
+            seen = Counter()
+            for piece, n in zip(batch.column("piece").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                for word in cutter.words(piece):
+                    seen[word] += n
+            yield pa.RecordBatch.from_arrays([pa.array([*seen.keys()], pa.string()), pa.array([*seen.values()], pa.int64())], names=["word", "n"])
+
+    pieces = df.select(F.col(text).alias("text")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    words = pieces.mapInArrow(cut, "word string, n long").where(F.octet_length("word") < KNOWN_BYTES)
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    counted = df.select(F.col(text).alias("text")).mapInPandas(count, "piece string, n long").where(F.octet_length("piece") < KNOWN_BYTES)
-    found = common.stored(counted.groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+def dictionary(df: DataFrame, text: str, ranks: dict[bytes, int], known: int = KNOWN) -> dict[str, str]:
+    """The most frequent words of all texts, `known` at most, with their ids as characters."""
+    spark = df.sparkSession
+    found = common.stored(word_counts(df, text), "words")
     # the least count that leaves few enough: exact below 1024, in small steps above, so a few thousand numbers
     level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 384).cast("int")
     least, total = 1 << 30, 0
@@ -226,19 +252,27 @@ def dictionary(df: DataFrame, text: str, ranks: dict[bytes, int], known: int = K
         if total > known:
             break
         least = at
-    top = found.where(level >= least).select("piece").repartition(2 * spark.sparkContext.defaultParallelism, "piece")
-    cut = top.withColumn("found", look_up(F.col("piece"), {}, ranks, spark))
-    folded = _folded("found", spark, ranks)
-    rows = cut.select("piece", folded.alias("letters")).toArrow()
-    return dict(zip(rows.column("piece").to_pylist(), rows.column("letters").to_pylist(), strict=True))
+    top = found.where(level >= least).select("word").repartition(2 * spark.sparkContext.defaultParallelism, "word")
+    letters = common.let(F.col("word"), lambda w: common.let(pair_table(spark, ranks), lambda p: fold(w, p, ranks)))
+    rows = top.select("word", letters.alias("letters")).toArrow()
+    common.forget(found)
+    return dict(zip(rows.column("word").to_pylist(), rows.column("letters").to_pylist(), strict=True))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", known: int = KNOWN) -> DataFrame:
     """df with ids array<int>, the ids of each whole text by the ranks of a tiktoken file."""
     ranks, spark, df = read_ranks(path), df.sparkSession, df.drop("ids")
-    found = df.withColumn("_found", look_up(F.col(text), dictionary(df, text, ranks, known), ranks, spark))
-    letters = found.withColumn("_letters", _folded("_found", spark, ranks))
-    return letters.withColumn("ids", as_ids(F.col("_letters"))).drop("_found", "_letters")
+    found = look_up(df, text, dictionary(df, text, ranks, known), ranks)
+
+    def filled(open_: Column) -> Column:
+        def with_pairs(pairs: Column) -> Column:
+            folded = F.transform(open_, lambda w: as_ids(fold(w, pairs, ranks)))
+            return common.let(folded, lambda x: F.flatten(F.transform(F.col("_ids"), lambda i: F.when(i < 0, F.get(x, -i - 1)).otherwise(F.array(i)))))
+
+        return common.let(pair_table(spark, ranks), with_pairs)
+
+    ids = F.when(F.size("_open") == 0, F.col("_ids")).otherwise(common.let(F.col("_open"), filled))
+    return found.withColumn("ids", ids).drop("_ids", "_open")
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:

@@ -25,8 +25,9 @@ def ranks_of(vocab: dict[str, int]) -> dict[bytes, int]:
 
 
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """text -> ids of a byte-level BPE tokenizers file; strings of special tokens are ordinary text.
+    """text -> ids of a byte-level BPE tokenizers file, as the library gives them without adding special tokens.
 
+    Strings of added tokens become those tokens: a text is cut at them first, the leftmost and longest ones.
     The merges run in tiktoken, which is several times faster and gives the same ids where the merges' order is
     that of the ids, as is checked here; else the tokenizers library does the work. The look-ahead of the
     family's pattern only keeps the last of several spaces for the next word, so cutting a text before that
@@ -34,14 +35,14 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"] for x in spec.get("added_tokens", ())}
-    vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in special}
+    added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
+    plain = not any(x.get(k) for x in spec.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word"))
+    vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in added}
     merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
-    if spec.get("normalizer") or merged != sorted(merged) or max(vocab.values()) >= len(vocab):
+    if not plain or spec.get("normalizer") or merged != sorted(merged) or max(vocab.values()) >= len(vocab):
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         return lambda text: slow.encode(text, add_special_tokens=False).ids
 
     import tiktoken
@@ -50,7 +51,17 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     several = re.compile(f"[{SPACE}]+(?=[{SPACE}][^{SPACE}])|[{SPACE}]{{2,}}\\Z")
     others = [c for c in map(chr, range(0x3001)) if c != " " and re.match(f"[{SPACE}]", c)]
 
+    cut_at = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+
     def encode(text: str) -> list[int]:
+        if cut_at and any(x in text for x in added):
+            ids = []
+            for part in cut_at(text):
+                ids += [added[part]] if part in added else between(part)
+            return ids
+        return between(text)
+
+    def between(text: str) -> list[int]:
         blank = text
         for c in others:
             if c in text:
