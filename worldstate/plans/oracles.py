@@ -50,7 +50,7 @@ WITH i AS (
 ), a AS (
   SELECT claim_id, coalesce(bool_or(ok AND k = 'p' AND st = 's'), false) AS ps, coalesce(bool_or(ok AND k = 'p' AND st = 'c'), false) AS pc,
     coalesce(bool_or(ok AND k = 'i' AND st = 's'), false) AS si, coalesce(bool_or(ok AND k = 'i' AND st = 'c'), false) AS ci,
-    count(DISTINCT pub) FILTER (ok AND k = 'i' AND st = 's') AS n, coalesce(string_agg(DISTINCT pub, ' / ' ORDER BY pub) FILTER (ok AND k = 'i' AND st = 's'), '') AS publishers
+    count(DISTINCT pub) FILTER (ok AND k = 'i' AND st = 's') AS n, coalesce(string_agg(DISTINCT pub, ', ' ORDER BY pub) FILTER (ok AND k = 'i' AND st = 's'), '') AS publishers
   FROM i GROUP BY claim_id
 )
 SELECT claim_id, CASE WHEN pc THEN 'conflicting' WHEN ps THEN 'confirmed' WHEN si AND ci THEN 'conflicting' WHEN n >= 2 THEN 'corroborated' WHEN n = 1 THEN 'single_source' ELSE 'unverified' END AS status, n AS n_origins, publishers FROM a

@@ -91,7 +91,7 @@ def g10_evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.get_json_object("props", "$.k").cast("int") % 50 == 0).alias("verified"),
         F.concat(F.lit("p"), F.get_json_object("props", "$.k")).alias("publisher"),
     )
-    return evidence.assess(items)
+    return evidence.assess(items).select("claim_id", "status", "n_origins", "publishers")
 
 
 def g18_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
