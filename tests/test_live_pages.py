@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from worldstate.functions import scheduling
-from worldstate.streaming import live_pages
+from worldstate.streaming import in_order, live_pages
 
 HOUR = 3_600_000_000
 SCHEMA = ", ".join(f"{c} {t}" for c, t in live_pages.CHECK.items())
@@ -60,8 +60,8 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     for n, at in enumerate(range(0, len(order), 15)):
         spark.createDataFrame([rows[k] for k in order[at : at + 15]], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{n:02}")
     spark.createDataFrame([check(10**6, "end")], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/99")
-    before = {k: spark.conf.get(k, None) for k in live_pages.STATE_STORE}
-    for k, v in live_pages.STATE_STORE.items():
+    before = {k: spark.conf.get(k, None) for k in in_order.STATE_STORE}
+    for k, v in in_order.STATE_STORE.items():
         spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")

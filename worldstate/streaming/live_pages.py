@@ -14,25 +14,17 @@ out of a stream; unknown words of a good page count as 0; no checks, no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import scheduling
+from .in_order import Fold
 
 #: Columns of a check. status: of HTTP; error: what failed; blocked: by rules of the host; quality: by the absolute gate; noise: the
 #: difference to the accepted snapshot is no more than volatile; base: minutes between checks of the source.
 CHECK = {"source": "string", "id": "long", "at": "long", "status": "int", "error": "string", "blocked": "boolean", "quality": "string", "words": "long", "content": "string", "noise": "boolean", "base": "long"}
-IN_ORDER = ["at", "id", *(c for c in CHECK if c not in ("source", "at", "id"))]
-OUT = "source string, id long, at long, outcome string, before_id long, failures long, interval long, next_at long"
-STATE = "words long, content string, id long, rejected long, failures long, interval long"
+OUT = {"source": "string", "id": "long", "at": "long", "outcome": "string", "before_id": "long", "failures": "long", "interval": "long", "next_at": "long"}
 #: words, content and id of the accepted snapshot, words of the one rejected last, failures in a row, interval in minutes.
-State = tuple[int | None, str | None, int | None, int | None, int, int | None]
-NEW: State = (None, None, None, None, 0, None)
+NEW = (None, None, None, None, 0, None)
 MINUTE = 60_000_000
 FAILED = ("error", "blocked", "degenerate")
 
@@ -47,7 +39,7 @@ def interval(base: int, current: int | None, outcome: str, failures: int) -> int
     return min(base * 2 ** min(failures, 5), 2880)
 
 
-def judged(state: State, check: dict) -> tuple[str, State]:
+def judged(state: tuple, check: dict) -> tuple[str, tuple]:
     """The outcome of a check, and the state but for failures and interval."""
     words, content, own, rejected, failures, minutes = state
     if check["status"] == 304:
@@ -66,8 +58,9 @@ def judged(state: State, check: dict) -> tuple[str, State]:
     return outcome, (n, check["content"], check["id"], None, failures, minutes)
 
 
-def step(state: State, check: dict) -> tuple[State, tuple]:
+def step(state: tuple | None, check: dict) -> tuple[tuple, tuple]:
     """One check: the state after it, and its row."""
+    state = NEW if state is None else state
     outcome, after = judged(state, check)
     failures = state[4] + 1 if outcome in FAILED else 0
     minutes = interval(check["base"] or 0, state[5], outcome, failures)
@@ -75,85 +68,14 @@ def step(state: State, check: dict) -> tuple[State, tuple]:
     return (*after[:4], failures, minutes), (check["source"], check["id"], check["at"], outcome, state[2], failures, minutes, next_at)
 
 
-def _checks(df: DataFrame) -> DataFrame:
-    return df.select(*(F.col(c).cast(t).alias(c) for c, t in CHECK.items()))
-
-
-NAMES = [x.split(" ")[0] for x in OUT.split(", ")]
-TYPES = [pa.string() if x.split(" ")[1] == "string" else pa.int64() for x in OUT.split(", ")]
+PAGES = Fold(step, ["source"], CHECK, OUT)
 
 
 def outcomes(checks: DataFrame) -> DataFrame:
     """OUT for a table with the columns of CHECK; a source is folded in one task, in order, its state alone in memory."""
-    dealt = _checks(checks).repartition("source").sortWithinPartitions("source", *IN_ORDER)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = object(), NEW
-        for batch in batches:
-            rows = []
-            for check in batch.to_pylist():
-                if check["source"] != last:
-                    last, state = check["source"], NEW
-                state, row = step(state, check)
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=NAMES)
-
-    return dealt.mapInArrow(fold, OUT)
-
-
-PLAIN = {"string": str, "long": int, "int": int, "boolean": bool}
-
-
-class LivePages(StatefulProcessor):
-    """A source's checks wait in a list until the watermark passes them; a timer then folds those that are due, in order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("page", STATE)
-        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {t}" for c, t in CHECK.items() if c != "source"))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = set(self.handle.listTimers())
-        for frame in rows:
-            for row in frame.itertuples(index=False):
-                due = int(row.at) // 1000 + 1
-                if due not in known:
-                    self.handle.registerTimer(due)
-                    known.add(due)
-                # pandas makes floats of whole numbers beside nulls
-                self.waiting.appendValue(tuple(None if pd.isna(x := getattr(row, c)) else PLAIN[t](x) for c, t in CHECK.items() if c != "source"))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        names = [c for c in CHECK if c != "source"]
-        until = int(expiredTimerInfo.getExpiryTimeInMs()) * 1000
-        waiting = [dict(zip(names, x, strict=True)) for x in self.waiting.get()]
-        due = sorted((x for x in waiting if x["at"] < until), key=lambda x: [(x[c] is not None, x[c]) for c in IN_ORDER])
-        if not due:
-            return
-        state = tuple(self.state.get()) if self.state.exists() else NEW
-        rows = []
-        for check in due:
-            state, row = step(state, check | {"source": key[0]})
-            rows.append(row)
-        self.state.update(state)
-        left = [tuple(x[c] for c in names) for x in waiting if x["at"] >= until]
-        if left:
-            self.waiting.put(left)
-        else:
-            self.waiting.clear()
-        out = pd.DataFrame(rows, columns=NAMES)
-        yield out.astype({c: "Int64" for c, t in zip(NAMES, TYPES, strict=True) if t == pa.int64()})
-
-    def close(self) -> None:
-        pass
-
-
-#: Where a stream with this operator keeps its state.
-STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    return PAGES.over_table(checks)
 
 
 def outcomes_stream(checks: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The same for a stream of checks; those more than `delay` behind the latest are left out. Needs the settings of STATE_STORE."""
-    timed = _checks(checks).where("at is not null").withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", delay)
-    return timed.groupBy("source").transformWithStateInPandas(LivePages(), OUT, "append", "EventTime")
+    """The same for a stream of checks; those more than `delay` behind the latest are left out. Needs in_order.STATE_STORE."""
+    return PAGES.over_stream(checks, delay)
