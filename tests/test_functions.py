@@ -110,6 +110,19 @@ def test_limiter(spark, tmp_path):
     assert {r.id: (r.allowed, r.wait) for r in spark.table("limited").collect()} == want
 
 
+def test_limiter_forgets_keys(spark, tmp_path):
+    """Keys go once the watermark is a window past them, and what passes is what passes without forgetting."""
+    rows = [(k, k * 10 + n, 1000 + k * 500 + n * 7) for k in range(8) for n in range(6)]
+    df = spark.createDataFrame(rows, "key long, id long, at long")
+    for k in range(8):
+        df.where(f"key = {k}").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = stateful.limit_stream(stream, 30, 2, "100 seconds").writeStream.format("memory").queryName("forgetful").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+    assert {r.id: r.allowed for r in spark.table("forgetful").collect()} == {r.id: r.allowed for r in stateful.limit_batch(df, 30, 2).collect()}
+
+
 def test_limiter_over_many_batches(spark, tmp_path):
     """A hot key beside others, unordered, in Arrow batches of three rows: batch and stream are as one fold."""
     rng = random.Random(8)

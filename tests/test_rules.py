@@ -99,7 +99,8 @@ def test_adoption(spark):
 
 def test_related_and_upsert(spark):
     df = spark.createDataFrame([(1, None, 0), (2, None, 100), (3, None, 121), (4, "a", 100)], "id int, k string, d long")
-    assert sorted((r.id, r.other) for r in feeds.related(df, ["k"], "id", "d", 120, 6).collect()) == [(1, 2), (2, 1), (2, 3), (3, 2)]
+    assert sorted((r.id, r.other) for r in feeds.related(df, ["k"], "id", "d", 120, 6).collect()) == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 2)]
+    assert sorted((r.id, r.other, r.place) for r in feeds.related(df, ["k"], "id", "d", None, 1, F.col("id") != 3).collect()) == [(1, 2, 1), (2, 1, 1), (3, 2, 1)]
     old = spark.createDataFrame([(1, ["b"], "old"), (2, ["x"], "stay")], "id int, tags array<string>, text string")
     new = spark.createDataFrame([(1, ["a"], ""), (3, ["c"], "new")], "id int, tags array<string>, text string")
     assert {r.id: (r.tags, r.text) for r in feeds.upsert(old, new, ["id"], ["tags"], ["text"]).collect()} == {1: (["a", "b"], "old"), 2: (["x"], "stay"), 3: (["c"], "new")}

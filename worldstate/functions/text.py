@@ -96,10 +96,15 @@ def dates_are_noise(s: Column) -> Column:
     return F.regexp_like(s, F.lit(DATE_NOISE)) | alone
 
 
+#: What a line must have for any mask to fit: a digit, a word of age, a parameter, or a long run of hex letters.
+MASKABLE = r"(?iU)\d|\bago\b|\bnow\b|\byesterday\b|[?&]|[0-9a-f]{16}"
+
+
 def mask_volatile(s: Column, dates: bool | None = True) -> Column:
     """Parts of a line that change on every visit become markers: dates, times, ages, copyright years, cache-busters and long ids.
 
-    Dates are masked in all lines, in none, or for None in those where they are noise. Ages are marked <RELTIME>.
+    Dates are masked in all lines, in none, or for None in those where they are noise. Ages are marked <RELTIME>. Lines that
+    no mask can fit are told by one look.
     """
 
     def masked(x: Column, with_dates: bool) -> Column:
@@ -108,14 +113,15 @@ def mask_volatile(s: Column, dates: bool | None = True) -> Column:
                 x = F.regexp_replace(x, pattern, marker)
         return F.regexp_replace(x, ID, "<ID>")
 
+    found = F.when(~F.regexp_like(s, F.lit(MASKABLE)), s)
     if dates is not None:
-        return masked(s, dates)
-    return bound(s, lambda x: F.when(dates_are_noise(x), masked(x, True)).otherwise(masked(x, False)))
+        return found.otherwise(masked(s, dates))
+    return found.when(dates_are_noise(s), masked(s, True)).otherwise(masked(s, False))
 
 
 def content_hash(lines: Column) -> Column:
     """SHA-256 over masked, squeezed lines joined by line ends."""
-    return F.sha2(F.array_join(F.transform(lines, lambda x: mask_volatile(squeeze(x), None)), "\n"), 256)
+    return F.sha2(F.array_join(F.transform(F.transform(lines, squeeze), lambda x: mask_volatile(x, None)), "\n"), 256)
 
 
 #: Words; typography that is alike in quotes, and characters without width.

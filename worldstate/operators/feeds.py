@@ -12,18 +12,22 @@ def newest(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataFr
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long")).where(F.col("place") <= n)
 
 
-def related(df: DataFrame, key: list[str], id_col: str, at: str, days: int, n: int) -> DataFrame:
-    """id, other, place: the n newest others of a row's key from `days` before it on; at is in days. A null key part equals a null.
+def related(df: DataFrame, key: list[str], id_col: str, at: str, days: int | None, n: int, among: Column | None = None) -> DataFrame:
+    """id, other, place: the n newest others of a row's key, none older than `days` before it (None: however old); at is in days.
 
-    Time is cut into cells as long as the span, so that a busy key is spread over its cells.
+    among: which rows can be others. A null key part equals a null; ties go to the larger id. Of a key only its n + 1 newest can be
+    anyone's answer, so those alone meet its rows: one top-k, one join, no pairs.
     """
-    own = df.select(*key, F.col(id_col).alias("id"), F.col(at).alias("_at"), F.explode(F.sequence(F.floor((F.col(at) - days) / days), F.floor(F.col(at) / days) + 1)).alias("_cell"))
-    other = df.select(*(F.col(k).alias(f"_{k}") for k in key), F.col(id_col).alias("other"), F.col(at).alias("_other_at"), F.floor(F.col(at) / days).alias("_other_cell"))
-    same = F.col("_cell") == F.col("_other_cell")
+    others = df if among is None else df.where(among)
+    top = newest(others.where(F.col(id_col).isNotNull() & F.col(at).isNotNull()), key, [F.desc(at), F.desc(id_col)], n + 1)
+    top = top.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", F.col(id_col).alias("id"), F.col(at).alias("at")))).alias("_top")).select(*(F.col(k).alias(f"_{k}") for k in key), "_top")
+    own = df.select(*key, F.col(id_col).alias("_id"), F.col(at).alias("_at"))
+    same = F.lit(True)
     for k in key:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    met = own.join(other, same).where("id != other and _other_at >= _at - {0} and _other_at <= _at + {0}".format(days))
-    return newest(met, ["id"], [F.desc("_other_at"), F.desc("other")], n).select("id", "other", "place")
+    fits = F.filter("_top", lambda x: (x["id"] != F.col("_id")) & (F.lit(True) if days is None else x["at"] >= F.col("_at") - days))
+    met = own.join(top, same).select(F.col("_id").alias("id"), F.posexplode(F.slice(fits, 1, n)).alias("_k", "x"))
+    return met.select("id", F.col("x.id").alias("other"), (F.col("_k") + 1).cast("long").alias("place"))
 
 
 def previous(df: DataFrame, key: list[str], order: list[str], value: str, accepted: Column) -> DataFrame:

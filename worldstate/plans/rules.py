@@ -35,9 +35,9 @@ FLAT = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\t-\r\x{85}\p{
 HOST = r"regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1)"
 
 
-@query(f"SELECT item_id, {sql_slug('left(text, 200)')} AS slug FROM benchmark")
+@query(f"SELECT item_id, {sql_slug("coalesce(text, '')")} AS slug FROM benchmark")
 def f3_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", domain.slug(F.left("text", F.lit(200))).alias("slug"))
+    return table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", domain.slug(F.col("text")).alias("slug"))
 
 
 @query(r"SELECT c_custkey, CASE WHEN length(c_name) <= 9 THEN c_name ELSE rtrim(left(c_name, 8)) || '…' END AS short, left(lower(c_name), 300) AS name_key FROM customer")
@@ -195,9 +195,9 @@ def st3_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def f4_turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How alike the openings of a conversation's consecutive turns are; SQL has no such measure."""
+    """How alike a conversation's consecutive turns are; SQL has no such measure."""
     from pyspark.sql.window import Window
 
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("t", F.lower(domain.clip(F.col("text"), 300)))
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("t", F.lower("text"))
     pairs = turns.withColumn("b", F.lag("t").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null")
     return pairs.select("conv_id", "turn", *(F.round(f("t", "b"), 6).alias(f"{name}_score") for name, f in (("ratio", fuzzy.ratio), ("sort", fuzzy.token_sort_ratio), ("set", fuzzy.token_set_ratio))))

@@ -67,10 +67,17 @@ def limit_batch(df: DataFrame, window: int, limit: int) -> DataFrame:
     return dealt.mapInArrow(fold, OUT)
 
 
-def limit_stream(stream: DataFrame, window: int, limit: int) -> DataFrame:
-    """The same over a stream, each key's hits held as state; a micro-batch's hits of a key are put in order as bare numbers."""
+def limit_stream(stream: DataFrame, window: int, limit: int, delay: str | None = None) -> DataFrame:
+    """The same over a stream, each key's hits held as state; a micro-batch's hits of a key are put in order as bare numbers.
+
+    delay: hits so far behind the latest are left out, and a key is forgotten once the watermark is a window past its last
+    hit, when its limiter is empty; None: no hit is late, and every key is kept.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         hits = list(state.get[0]) if state.exists else []
         ids, ats = (np.concatenate(x) for x in zip(*((b["id"].to_numpy(), b["at"].to_numpy()) for b in batches), strict=True))
         order = np.lexsort((ids, ats))
@@ -82,5 +89,10 @@ def limit_stream(stream: DataFrame, window: int, limit: int) -> DataFrame:
                 rows.append((key[0], int(ids[i]), at, ok, wait))
             yield pd.DataFrame(rows, columns=["key", "id", "at", "allowed", "wait"])
         state.update((hits,))
+        if delay:
+            state.setTimeoutTimestamp(max((hits[-1] + window) * 1000, state.getCurrentWatermarkMs()) + 1)
 
-    return stream.select(F.col("key"), F.col("id"), F.col("at")).groupBy("key").applyInPandasWithState(fold, OUT, "hits array<long>", "append", GroupStateTimeout.NoTimeout)
+    rows, timeout = stream.select(F.col("key"), F.col("id"), F.col("at")), GroupStateTimeout.NoTimeout
+    if delay:
+        rows, timeout = rows.where("at is not null").withColumn("_ts", F.timestamp_seconds("at")).withWatermark("_ts", delay), GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("key").applyInPandasWithState(fold, OUT, "hits array<long>", "append", timeout)
