@@ -68,5 +68,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+        docs = common.stored(stage(spark, docs, sf_dir), name, clean=True)
     return docs

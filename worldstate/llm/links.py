@@ -28,11 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
     chain. Edges never outnumber those given; each round is written to the shared folder. No edges: no rows.
     """
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    pairs, seen = common.stored(pairs, "links"), None
+    pairs, seen = common.stored(pairs, "links", clean=True), None
     while True:
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
         seen = state
-        pairs = common.stored(_stars(_stars(pairs, True), False), "links")
+        pairs = common.stored(_stars(_stars(pairs, True), False), "links", clean=True)
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -150,16 +150,16 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """Those of the pairs (a, b) that link, by the sets of the documents in them; texts: key, t."""
-    pairs = common.stored(pairs, f"{name}-pairs")
-    wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), f"{name}-docs")
+    pairs = common.stored(pairs, f"{name}-pairs", clean=True)
+    wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), f"{name}-docs", clean=True)
     # keys of a checked number are broadcast, so that no text moves; more meet the texts in a shuffle join
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = texts.join(side, "key", "left_semi").dropDuplicates(["key"]).select("key", shingles(F.col("t"), n).alias("s"))
-    sets = common.stored(sets, f"{name}-sets")
+    sets = common.stored(sets, f"{name}-sets", clean=True)
     left, right = sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
     both = pairs.join(left, "b").join(right, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     linked = both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
-    linked = common.stored(linked, f"{name}-links")
+    linked = common.stored(linked, f"{name}-links", clean=True)
     common.forget(pairs, wanted, sets)
     return linked
 
@@ -209,17 +209,17 @@ def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc
     texts = df.select(row_key(id_col, text).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
     # ids pass Python as text: a null among them would turn numbers into floats
     sets = texts.select("key", F.col("id").cast("string").alias("id"), shingles(F.col("t"), n).alias("s"))
-    scanned = common.stored(scan(sets), "scan")
+    scanned = common.stored(scan(sets), "scan", clean=True)
     prints = scanned.where("key is not null")
-    members = common.stored(classes(prints), "classes")
+    members = common.stored(classes(prints), "classes", clean=True)
     reps = members.where("key = rep and n > 0").select("key").distinct()
 
-    postings = common.stored(prefixes(sets, bucket_counts(scanned), percent), "postings")
+    postings = common.stored(prefixes(sets, bucket_counts(scanned), percent), "postings", clean=True)
     # most tokens occur once, or are indexed nowhere: they leave by a count of the bare tokens, before any wider row moves
     several = postings.groupBy("token").agg(F.count("*").alias("c"), F.max("indexed").alias("i")).where("c > 1 and i").select("token")
-    often = common.stored(postings.join(several, "token", "left_semi"), "several")
+    often = common.stored(postings.join(several, "token", "left_semi"), "several", clean=True)
     common.forget(postings)
-    met = common.stored(often.join(reps, "key", "left_semi").distinct(), "met")
+    met = common.stored(often.join(reps, "key", "left_semi").distinct(), "met", clean=True)
     common.forget(often)
 
     edges, near, left = None, None, met
@@ -232,7 +232,7 @@ def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc
             by_key = F.broadcast(by_key) if near.count() <= BROADCAST_IDS else by_key
             marked = left.drop("c").join(by_key, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
         open_ = marked.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
-        open_ = common.stored(marked.join(open_, "token", "left_semi"), "open")
+        open_ = common.stored(marked.join(open_, "token", "left_semi"), "open", clean=True)
         # a token whose representatives lie in one component stays closed
         common.forget(left)
         left = open_
@@ -240,7 +240,7 @@ def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc
             found = verify(neighbours(open_, percent, turn), texts.select("key", "t"), n, percent, f"near-{turn}")
         else:
             # sketches are wide, so they come only to the postings that the rounds have left
-            with_sketch = common.stored(open_.join(prints.select("key", "sketch").dropDuplicates(["key"]), "key"), "sketched")
+            with_sketch = common.stored(open_.join(prints.select("key", "sketch").dropDuplicates(["key"]), "key"), "sketched", clean=True)
             a, b = (with_sketch.select("token", *_side(s, names=SIDE | {"sketch": "s"})) for s in "ab")
             found = verify(meet(a.join(b, "token").where((F.col("ca") != F.col("cb")) & fits(percent) & alike(percent))), texts.select("key", "t"), n, percent, "rest")
             common.forget(with_sketch)
@@ -249,14 +249,14 @@ def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc
         edges = found
         for x in former:
             edges = edges.unionByName(x)
-        near = common.stored(links.components(edges), "near")
+        near = common.stored(links.components(edges), "near", clean=True)
     out = members.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("key", "id", "n", F.coalesce("component", "rep").alias("group"))
 
 
 def join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id that links reach, of every row."""
-    rows = common.stored(linked_rows(df, n, percent, id_col, text), "linked")
+    rows = common.stored(linked_rows(df, n, percent, id_col, text), "linked", clean=True)
     least = rows.groupBy("group").agg(F.min("id").alias("component_id"))
     return rows.join(least, "group").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
