@@ -178,11 +178,12 @@ def later_copies(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
     maybe = segments.join(repeated, "anchor", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("segments"))
     windows = df.join(maybe, "rid").mapInArrow(lambda b: _candidates(b, window, anchor), "rid long, id long, anchor long, h long, start int")
     windows = common.stored(windows, "windows", clean=True)
+    common.forget(segments)
     first = windows.groupBy("anchor", "h").agg(F.min(F.struct("id", "rid")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     first = common.stored(first, "first", clean=True)
     later = windows.join(first, ["anchor", "h"]).where("struct(id, rid) > first").groupBy("rid").agg(F.collect_list("start").alias("starts"))
     later = common.stored(later, "later", clean=True)
-    common.forget(segments, windows, first)
+    common.forget(windows, first)
     return later
 
 
