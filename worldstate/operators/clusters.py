@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy
+from ..functions.fuzzy import token_set
 from ..streaming.in_order import Fold
 from . import evidence
 
@@ -24,7 +24,7 @@ PLACED = {"id": "long", "event_id": "long", "leg": "string", "nth": "long"}
 
 
 def similar(a: str | None, b: str | None) -> bool:
-    return a is not None and b is not None and fuzzy.token_set(a.lower(), b.lower()) >= ALIKE
+    return a is not None and b is not None and token_set(a.lower(), b.lower()) >= ALIKE
 
 
 def place(state: list | None, item: dict) -> tuple[list, tuple]:

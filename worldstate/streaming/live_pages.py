@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions import scheduling
+from ..functions.scheduling import LEAST_SHARE, REJECT_SPREAD
 from .in_order import Fold
 
 #: Columns of a check. status: of HTTP; error: what failed; blocked: by rules of the host; quality: by the absolute gate; noise: the
@@ -49,8 +49,8 @@ def judged(state: tuple, check: dict) -> tuple[str, tuple]:
     if check["quality"] != "ok":
         return "degenerate" if check["quality"] == "degenerate" else "blocked", state
     n = check["words"] or 0
-    near = bool(rejected) and abs(n - rejected) <= scheduling.REJECT_SPREAD * max(n, rejected)
-    if words and n < scheduling.LEAST_SHARE * words and not near:
+    near = bool(rejected) and abs(n - rejected) <= REJECT_SPREAD * max(n, rejected)
+    if words and n < LEAST_SHARE * words and not near:
         return "degenerate", (words, content, own, n, failures, minutes)
     if own is not None and check["content"] == content:
         return "unchanged", (words, content, own, None, failures, minutes)
