@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import pages, scheduling, text, urls
-from ..operators import feeds, versions
+from ..operators import crawl, feeds, versions
 from .queries import micros, observations, table
 
 QUERIES, ORACLES = {}, {}
@@ -45,6 +45,23 @@ def p2_challenges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "n_words", pages.challenge(F.col("html"), title, F.col("n_words")).alias("marker"))
 
 
+MARKED = f"""WITH p AS (SELECT page_id, (page_id * 37 % 300)::BIGINT AS n_words, CASE WHEN page_id % 4 = 0 THEN ({pages.CHALLENGE_TITLES})[page_id // 4 % {len(pages.CHALLENGE_TITLES)} + 1] || ' please' ELSE 'A page' END AS title,
+  lower(left(CASE WHEN page_id % 4 = 1 THEN ({pages.STRONG})[page_id // 4 % {len(pages.STRONG)} + 1] WHEN page_id % 4 = 2 THEN upper(({pages.WEAK})[page_id // 4 % {len(pages.WEAK)} + 1]) ELSE '' END || coalesce(html, ''), 200000)) AS head FROM pages)
+SELECT page_id, n_words, CASE WHEN n_words < 250 THEN coalesce({sql_first("title", pages.CHALLENGE_TITLES, "starts_with")}, {sql_first("head", pages.STRONG, "contains")}, CASE WHEN n_words < 80 THEN {sql_first("head", pages.WEAK, "contains")} END) END AS marker FROM p"""
+
+
+@query(MARKED)
+def p2_challenge_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for pages into which titles and markers of challenges of each kind are put, and for sizes about the limits."""
+    found = table(spark, sf_dir, "pages", "page_id", "html")
+    nth, kind = F.floor(F.col("page_id") / 4), F.col("page_id") % 4
+    pick = lambda of: F.get(F.array(*map(F.lit, of)), (nth % len(of)).cast("int"))
+    title = F.when(kind == 0, F.concat(F.initcap(pick(pages.CHALLENGE_TITLES)), F.lit(" please"))).otherwise("A page")
+    mark = F.when(kind == 1, pick(pages.STRONG)).when(kind == 2, F.upper(pick(pages.WEAK))).otherwise("")
+    words = (F.col("page_id") * 37 % 300).cast("long")
+    return found.select("page_id", words.alias("n_words"), pages.challenge(F.concat(mark, F.coalesce("html", F.lit(""))), title, words).alias("marker"))
+
+
 SPLIT = r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\n[ \t\r\f]*\n[ \t\r\n\f]*')) AS x, generate_subscripts(string_split_regex(text, '\n[ \t\r\f]*\n[ \t\r\n\f]*'), 1) AS i FROM documents),
 t AS (SELECT doc_id, i, regexp_replace(x, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g') AS x FROM w),
 p AS (SELECT doc_id, i, unnest(CASE WHEN length(x) > 1500 THEN string_split(x, chr(10)) ELSE [x] END) AS x, generate_subscripts(CASE WHEN length(x) > 1500 THEN string_split(x, chr(10)) ELSE [x] END, 1) AS j FROM t)
@@ -80,23 +97,22 @@ def src16_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", pages.recency(F.datediff(F.lit(last), F.col("o_orderdate").cast("date"))).alias("bucket"))
 
 
-#: Every host's rules in the query on crawl rules, and as the patterns they stand for.
+#: Hosts' rules in the query on crawl rules.
 RULES = [("/", True), ("/*/1", False), ("/en/", False), ("/en/*7$", True), ("/de/8", False), ("/de/8", True)]
 
 
-@query(f"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/$', '') AS path FROM pages),
+@query(f"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)', 1) AS t FROM pages),
 r(rule, allow, pattern) AS (VALUES ('/', true, '^/'), ('/*/1', false, '^/.*/1'), ('/en/', false, '^/en/'), ('/en/*7$', true, '^/en/.*7$'), ('/de/8', false, '^/de/8'), ('/de/8', true, '^/de/8')),
-m AS (SELECT page_id, arg_max(allow, length(rule) * 2 + allow::INT) AS allow FROM p JOIN r ON host <> '' AND regexp_matches(path, pattern) GROUP BY 1)
-SELECT p.page_id, coalesce(m.allow, true) AS allowed FROM p LEFT JOIN m ON m.page_id = p.page_id""")
+m AS (SELECT page_id, arg_max(allow, length(rule) * 2 + allow::INT) AS allow FROM p JOIN r ON host <> '' AND length(host) % 3 <> 0 AND regexp_matches(CASE WHEN starts_with(t, '/') THEN t ELSE '/' || t END, pattern) GROUP BY 1)
+SELECT p.page_id, CASE WHEN host <> '' AND length(host) % 7 = 0 THEN true WHEN host <> '' AND length(host) % 7 = 1 THEN false ELSE coalesce(m.allow, true) END AS allowed FROM p LEFT JOIN m ON m.page_id = p.page_id""")
 def src19_crawl_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether its host's rules let a page be read: the longest that fits decides, and of equal ones that which allows."""
-    found = table(spark, sf_dir, "pages", "page_id", "url").select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    """Whether its host's rules let a page be read: two hosts of three have rules, and some hosts' files are missing or can't be had."""
+    asked = table(spark, sf_dir, "pages", "page_id", "url").select("page_id", urls.host_of(F.col("url")).alias("host"), crawl.target_of(F.col("url")).alias("target"))
+    hosts = asked.where("host <> ''").select("host").distinct()
     rules = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(a).alias("allow")) for r, a in RULES))
-    table_of_rules = found.where("host <> ''").select("host").distinct().select("host", F.inline(rules)).withColumn("pattern", pages.rule_pattern(F.col("rule")))
-    # hot hosts are split by Spark's skew join; a page meets its host's few rules only
-    fits = found.join(table_of_rules, "host", "left").withColumn("fits", F.coalesce(F.regexp_like("path", F.col("pattern")), F.lit(False)))
-    best = F.max_by("allow", F.when(F.col("fits"), F.struct(F.length("rule"), "allow")))
-    return fits.groupBy("page_id").agg(F.coalesce(F.when(F.max("fits"), best), F.lit(True)).alias("allowed"))
+    kind = F.length("host") % 7
+    states = hosts.select("host", F.when(kind == 0, 404).when(kind == 1, 503).otherwise(200).alias("status"))
+    return crawl.allowed(asked, hosts.where(F.length("host") % 3 != 0).select("host", F.inline(rules)), states)
 
 
 @query("""WITH o AS (SELECT user_id, event_id, epoch_us(ts) AS "at", event_type = 'error' AS bad FROM events),
