@@ -1,34 +1,71 @@
-"""Sequence diff of two versions of a text, line by line."""
+"""Sequence diff of two versions of a page, line by line: hunks with context, noise told by reason, rendering, quotes.
+
+Versions are arrays of lines. Lines are aligned by keys without volatile parts, so that a new date in a note of updates
+is no hunk; hunks carry the lines as they are. A hunk that can't matter is noise, with its reason:
+
+    volatile    both sides are alike once dates, times, ages and ids are masked (a re-wrapped note of updates)
+    formatting  both sides are alike but for white space, case and marks that no digit or % stands beside
+    whitespace  no line has a character other than white space
+    rule        every line that isn't blank matches some learned pattern, whatever its case; patterns that don't compile count for nothing
+
+A null version is one without lines. All but the alignment, learned patterns and the check of quotes are built-in expressions.
+"""
 
 from __future__ import annotations
 
 import difflib
+import re
+from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions import text
+from ..functions import domain, quotes, text
+
+LINES = ArrayType(StringType())
+HUNKS = ArrayType(StructType([StructField("kind", StringType()), *(StructField(c, LINES) for c in ("before", "after", "context_before", "context_after"))]))
+#: Lines of context on either side; characters of a rendered diff and of a side in a note.
+CONTEXT, RENDERED, SHOWN = 2, 6000, 120
+#: Kinds of hunks by difflib's names, and the notes on noise.
+KINDS = {"replace": "changed", "insert": "added", "delete": "removed"}
+NOTES = {"volatile": "volatile-only change (dates/times/ids)", "formatting": "formatting-only change (whitespace/punctuation/case)", "whitespace": "whitespace-only change", "rule": "matched suppression rule"}
 
-HUNKS = ArrayType(StructType([StructField("kind", StringType()), StructField("before", ArrayType(StringType())), StructField("after", ArrayType(StringType()))]))
+
+def keyed(lines: Column) -> Column:
+    """Lines as an array of (line, key), the key without volatile parts; dates outside notes of updates stay, and so does case."""
+    key = lambda x: text.bound(text.squeeze(x), lambda s: text.mask_volatile(s, None))
+    return F.transform(lines, lambda x: F.struct(x.alias("line"), key(x).alias("key")))
 
 
 def masked_lines(s: Column) -> Column:
-    """Non-empty lines as an array of (line, key), the key without volatile parts; dates outside notes of updates stay, and so does case."""
-    lines = F.filter(F.transform(F.split(s, "\n"), text.squeeze), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(x.alias("line"), text.mask_volatile(x, None).alias("key")))
+    """The squeezed lines of a text that aren't empty, with keys."""
+    return keyed(F.filter(F.transform(F.split(s, "\n"), text.squeeze), lambda x: x != ""))
 
 
 @F.pandas_udf(HUNKS)
-def hunks(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Stretches that differ by key, with the lines as they are."""
+def _hunks(old: pd.Series, new: pd.Series, context: pd.Series) -> pd.Series:
     out = []
-    for a, b in zip(old, new, strict=True):
+    for a, b, n in zip(old, new, context, strict=True):
         a, b = ([] if x is None else list(x) for x in (a, b))
-        match = difflib.SequenceMatcher(None, [x["key"] for x in a], [x["key"] for x in b], autojunk=False)
-        out.append([{"kind": kind, "before": [x["line"] for x in a[i:j]], "after": [x["line"] for x in b[k:m]]} for kind, i, j, k, m in match.get_opcodes() if kind != "equal"])
-    return pd.Series(out)
+        lines = [x["line"] for x in b]
+        steps = difflib.SequenceMatcher(None, [x["key"] for x in a], [x["key"] for x in b], autojunk=False).get_opcodes()
+        found = []
+        # stretches that differ are never neighbours: what lies between two of them is alike and bounds the context of both
+        bounds = [0, *(m for kind, _, _, _, m in steps if kind != "equal")], [*(k for kind, _, _, k, _ in steps if kind != "equal"), len(b)]
+        for kind, i, j, k, m in steps:
+            if kind != "equal":
+                low, high = bounds[0][len(found)], bounds[1][len(found) + 1]
+                found.append({"kind": KINDS[kind], "before": [x["line"] for x in a[i:j]], "after": lines[k:m], "context_before": lines[max(low, k - n) : k], "context_after": lines[m : min(high, m + n)]})
+        out.append(found)
+    return pd.Series(out, dtype=object)
+
+
+def hunks(old: Column, new: Column, context: int = CONTEXT) -> Column:
+    """Stretches that differ by key, with the lines as they are and lines of the new version around them, up to the next hunk."""
+    return _hunks(old, new, F.lit(context))
 
 
 def counts(found: Column) -> dict[str, Column]:
@@ -37,7 +74,150 @@ def counts(found: Column) -> dict[str, Column]:
     return {"n_added": total("after"), "n_removed": total("before")}
 
 
-def without_noise(found: Column, patterns: list[str]) -> Column:
-    """Hunks of which some line matches none of the patterns."""
-    noise = lambda line: F.exists(F.array(*map(F.lit, patterns)), lambda p: F.regexp_like(line, p))
-    return F.filter(found, lambda h: F.exists(F.concat(h["before"], h["after"]), lambda line: ~noise(line)))
+def changed_ratio(found: Column, n_old: Column, n_new: Column) -> Column:
+    """Share of both versions' lines that a hunk holds; over a half, the page has been rebuilt."""
+    n = counts(found)
+    return (n["n_added"] + n["n_removed"]) / F.greatest(n_old + n_new, F.lit(1))
+
+
+@lru_cache(1024)
+def _compiled(pattern: str) -> re.Pattern | None:
+    try:
+        return re.compile(pattern, re.IGNORECASE)
+    except re.error:
+        return None
+
+
+@F.pandas_udf(LINES)
+def _rules(lines: pd.Series, patterns: pd.Series) -> pd.Series:
+    """For each hunk's lines the first pattern that matches one of them, if every line matches some pattern."""
+    out = []
+    for found, known in zip(lines, patterns, strict=True):
+        usable = [p for p in (_compiled(x) for x in ([] if known is None else known) if x is not None) if p]
+        row = []
+        for hunk in [] if found is None else found:
+            shown = [x for x in hunk if x and x.strip()]
+            all_match = bool(shown) and all(any(p.search(x) for p in usable) for x in shown)
+            row.append(next(p.pattern for p in usable if any(p.search(x) for x in shown)) if all_match else None)
+        out.append(row)
+    return pd.Series(out, dtype=object)
+
+
+def _alike(h: Column) -> Column:
+    """volatile or formatting, if both sides say the same."""
+    flat = lambda side: text.squeeze(F.array_join(h[side], " "))
+    mask = lambda s: text.mask_volatile(s, None)
+
+    def reason(x: Column) -> Column:
+        masked = F.struct(mask(x["b"]).alias("b"), mask(x["a"]).alias("a"))
+        same = lambda m: domain.formatting_key(m["b"]) == domain.formatting_key(m["a"])
+        return text.bound(masked, lambda m: F.when((x["b"] != x["a"]) & (m["b"] == m["a"]), "volatile").when((m["b"] == m["a"]) | same(m), "formatting"))
+
+    both = (F.size(h["before"]) > 0) & (F.size(h["after"]) > 0)
+    return F.when(both, text.bound(F.struct(flat("before").alias("b"), flat("after").alias("a")), reason))
+
+
+def _quoted(s: Column) -> Column:
+    """A text between quotes: single ones, or double ones where it has a single one and no double one."""
+    plain = F.regexp_replace(F.regexp_replace(s, r"\\", r"\\\\"), "\n", r"\\n")
+    double = F.contains(s, F.lit("'")) & ~F.contains(s, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.regexp_replace(plain, "'", r"\\'"), F.lit("'")))
+
+
+def _shown(h: Column) -> Column:
+    side = lambda c: _quoted(text.truncate(F.array_join(h[c], " / "), SHOWN))
+    one = F.when(h["kind"] == "added", F.concat(F.lit("+ "), side("after"))).when(h["kind"] == "removed", F.concat(F.lit("- "), side("before")))
+    return one.otherwise(F.concat(side("before"), F.lit(" -> "), side("after")))
+
+
+def judged(found: Column, patterns: Column | Sequence[str] = ()) -> Column:
+    """Every hunk in order as (hunk, reason, rule, note); reason and note are null for what is no noise, rule for all but rules.
+
+    patterns: learned patterns, given or as an array column (a table of rules, joined by owner).
+    """
+    given = patterns if isinstance(patterns, Column) else F.array(*map(F.lit, patterns)).cast("array<string>")
+    rules = _rules(F.transform(found, lambda h: F.concat(h["before"], h["after"])), given)
+    blank = lambda h: ~F.exists(F.concat(h["before"], h["after"]), lambda x: text.squeeze(x) != "")
+
+    def reason(h: Column, rule: Column) -> Column:
+        return F.coalesce(_alike(h), F.when(blank(h), "whitespace"), F.when(rule.isNotNull(), "rule"))
+
+    def note(h: Column, why: Column, rule: Column) -> Column:
+        kind = F.element_at(F.create_map(*(F.lit(x) for pair in NOTES.items() for x in pair)), why)
+        return F.when(why.isNotNull(), F.concat(kind, F.when(why == "rule", F.concat(F.lit(" "), _quoted(rule))).otherwise(""), F.lit(": "), _shown(h)))
+
+    def one(h: Column, rule: Column) -> Column:
+        return text.bound(reason(h, rule), lambda why: F.struct(h.alias("hunk"), why.alias("reason"), F.when(why == "rule", rule).alias("rule"), note(h, why, rule).alias("note")))
+
+    return F.zip_with(found, rules, one)
+
+
+def kept(judgements: Column) -> Column:
+    """The hunks that are no noise."""
+    return F.transform(F.filter(judgements, lambda x: x["reason"].isNull()), lambda x: x["hunk"])
+
+
+def notes(judgements: Column) -> Column:
+    """Why hunks were left out, in order."""
+    return F.transform(F.filter(judgements, lambda x: x["reason"].isNotNull()), lambda x: x["note"])
+
+
+def without_noise(found: Column, patterns: Column | Sequence[str] = ()) -> Column:
+    """The hunks that no reason takes away."""
+    return kept(judged(found, patterns))
+
+
+def _fitting(parts: Column, between: str, fits) -> Column:
+    """(text, n, open): the first n parts joined; the first that doesn't fit ends it. fits(length with it, number from 1)."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def step(s: Column, part: Column) -> Column:
+        longer = F.when(s["n"] == 0, part).otherwise(F.concat(s["text"], F.lit(between), part))
+        going = s["open"] & fits(F.length(s["text"]) + F.when(s["n"] == 0, 0).otherwise(len(between)) + F.length(part), s["n"] + 1)
+        return F.struct(F.when(going, longer).otherwise(s["text"]).alias("text"), F.when(going, s["n"] + 1).otherwise(s["n"]).alias("n"), going.alias("open"))
+
+    return F.aggregate(parts, start, step)
+
+
+def rendered(found: Column, most: int = RENDERED) -> Column:
+    """A diff as text of at most so many characters: whole hunks while they fit, then how many were left out.
+
+    A first hunk that is too long alone is cut at a line's end. (Fixed values: the format, and room of 40 and 60 characters for notes.)
+    """
+    lead = lambda mark, lines: F.transform(lines, lambda x: F.concat(F.lit(mark), x))
+
+    def block(h: Column, i: Column) -> Column:
+        head = F.array(F.concat(F.lit("@@ "), (i + 1).cast("string"), F.lit(" "), h["kind"]))
+        return F.array_join(F.concat(head, lead("  ", h["context_before"]), lead("- ", h["before"]), lead("+ ", h["after"]), lead("  ", h["context_after"])), "\n")
+
+    def cut(first: Column) -> Column:
+        room = most - 60
+        lines = F.split(first, "\n")
+        whole = _fitting(lines, "\n", lambda length, _: length <= room)
+        return text.bound(whole, lambda s: F.concat(F.when(s["n"] == 0, text.truncate(F.get(lines, F.lit(0)), max(1, room))).otherwise(s["text"]), F.lit("\n  … (hunk truncated)")))
+
+    def whole(blocks: Column) -> Column:
+        n = F.size(blocks)
+        fitting = _fitting(blocks, "\n\n", lambda length, number: length + F.when(number < n, 40).otherwise(0) <= most)
+        return text.bound(fitting, lambda s: noted(F.when(s["n"] == 0, cut(F.get(blocks, F.lit(0)))).otherwise(s["text"]), n - F.greatest(s["n"], F.lit(1))))
+
+    def noted(shown: Column, left: Column) -> Column:
+        note = F.concat(F.lit("\n\n… "), left.cast("string"), F.lit(" more hunk"), F.when(left == 1, "").otherwise("s"), F.lit(" omitted"))
+        return text.truncate(F.when(left > 0, F.concat(shown, note)).otherwise(shown), most)
+
+    return F.when(F.size(found) == 0, "(no changes)").when(found.isNotNull(), text.bound(F.transform(found, block), whole))
+
+
+@F.pandas_udf(StringType())
+def _first_holding(lines: pd.Series, bodies: pd.Series) -> pd.Series:
+    out = []
+    for found, body in zip(lines, bodies, strict=True):
+        form = quotes.normal(body or "")
+        asked = (x.strip() for x in ([] if found is None else found) if x)
+        out.append(next((x for x in asked if len(x) >= 3 and quotes.held(quotes.normal(x), form)[0]), None))
+    return pd.Series(out, dtype=object)
+
+
+def quote(found: Column, body: Column) -> Column:
+    """A quote for a change: the first line of three characters or more, of the new lines and then those around them, hunk by hunk, that holds in the new text."""
+    return _first_holding(F.flatten(F.transform(found, lambda h: F.concat(h["after"], h["context_after"], h["context_before"]))), body)
