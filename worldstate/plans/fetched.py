@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import pages, scheduling, text, urls
+from ..functions import addresses, pages, scheduling, text, urls
 from ..operators import crawl, feeds, versions
 from .queries import micros, observations, table
 
@@ -158,3 +158,29 @@ def k18_recent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events", "event_id", "event_type", "ts").where("event_type <> 'error'").select(F.col("event_id").alias("id"), micros("ts").alias("at"))
     facts = table(spark, sf_dir, "lineitem", "l_orderkey", "l_shipdate").groupBy(F.col("l_orderkey").alias("id")).agg(F.max(micros("l_shipdate")).alias("at"))
     return feed(cards, "card", 12).unionByName(feed(events, "event", 10)).unionByName(feed(facts, "fact", 10))
+
+
+# cards' keys as addresses in and about the reserved ranges, written in eight forms of which the last three are URLs
+OCTETS = [[10, 100, 127, 169, 172, 192, 198, 203, 8, 93, 224, 0], [64, 254, 16, 168, 18, 0, 51, 31, 32, 127, 128, 19], [0, 2, 100, 113, 1]]
+PUBLIC = f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS form, {OCTETS[0]}[1 + o_orderkey % 12]::BIGINT * 16777216 + {OCTETS[1]}[1 + o_orderkey // 12 % 12] * 65536 + {OCTETS[2]}[1 + o_orderkey // 144 % 5] * 256 + o_orderkey % 256 AS v FROM orders),
+r AS (SELECT * FROM (VALUES ('0.0.0.0', 8), ('10.0.0.0', 8), ('100.64.0.0', 10), ('127.0.0.0', 8), ('169.254.0.0', 16), ('172.16.0.0', 12), ('192.0.0.0', 24), ('192.0.2.0', 24), ('192.168.0.0', 16), ('198.18.0.0', 15), ('198.51.100.0', 24), ('203.0.113.0', 24), ('224.0.0.0', 4), ('240.0.0.0', 4)) t(net, bits)),
+n AS (SELECT list_reduce(list_transform(string_split(net, '.'), lambda x: x::BIGINT), lambda a, x: a * 256 + x) AS low, 1::BIGINT << (32 - bits) AS many FROM r),
+j AS (SELECT k, form, v, v NOT IN (3221225481, 3221225482) AND EXISTS (SELECT 1 FROM n WHERE v >= low AND v < low + many) AS closed FROM o)
+SELECT k AS o_orderkey, CASE WHEN form < 4 THEN NOT closed ELSE false END AS is_public, CASE WHEN form < 5 THEN 'scheme' WHEN form = 5 AND closed THEN 'address' WHEN form = 6 AND closed THEN 'address' WHEN form = 7 THEN CASE k // 8 % 3 WHEN 0 THEN 'credentials' WHEN 1 THEN 'internal' END END AS blocked FROM j"""
+
+
+@query(PUBLIC)
+def src20_public_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses and URLs in several forms: whether they are a public host's, and why they may not be fetched from."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey")
+    k = F.col("o_orderkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    parts = [pick(OCTETS[0], k % 12), pick(OCTETS[1], F.floor(k / 12) % 12), pick(OCTETS[2], F.floor(k / 144) % 5), k % 256]
+    dotted = F.concat_ws(".", *(p.cast("string") for p in parts))
+    digits = F.concat(*(F.lpad(F.lower(F.hex(p.cast("long"))), 2, "0") for p in parts))
+    groups = F.concat(F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4))
+    url = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in x))
+    named = pick(["https://me@example.com/", "http://db.internal:80/x", "https://example.com/a?b"], F.floor(k / 8) % 3)
+    forms = [dotted, url("::ffff:", dotted), url("[64:ff9b::", groups, "]"), url("64:ff9b:1::", groups), url("2002:", groups, "::"), url("http://0x", digits, ":8080/a"), url("https://[::ffff:", groups, "]/"), named]
+    written = orders.withColumn("s", F.element_at(F.array(*forms), (k % 8 + 1).cast("int")))
+    return written.select("o_orderkey", addresses.is_public_ip(F.col("s")).alias("is_public"), addresses.blocked(F.col("s")).alias("blocked"))
