@@ -16,14 +16,14 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Sequence
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions import domain, quotes, text
+from ..functions import domain, text
+from ..functions.quotes import held, normal
 
 LINES = ArrayType(StringType())
 HUNKS = ArrayType(StructType([StructField("kind", StringType()), *(StructField(c, LINES) for c in ("before", "after", "context_before", "context_after"))]))
@@ -80,20 +80,19 @@ def changed_ratio(found: Column, n_old: Column, n_new: Column) -> Column:
     return (n["n_added"] + n["n_removed"]) / F.greatest(n_old + n_new, F.lit(1))
 
 
-@lru_cache(1024)
-def _compiled(pattern: str) -> re.Pattern | None:
-    try:
-        return re.compile(pattern, re.IGNORECASE)
-    except re.error:
-        return None
-
-
 @F.pandas_udf(LINES)
 def _rules(lines: pd.Series, patterns: pd.Series) -> pd.Series:
     """For each hunk's lines the first pattern that matches one of them, if every line matches some pattern."""
-    out = []
+    out, compiled = [], {}
     for found, known in zip(lines, patterns, strict=True):
-        usable = [p for p in (_compiled(x) for x in ([] if known is None else known) if x is not None) if p]
+        asked = [x for x in ([] if known is None else known) if x is not None]
+        for x in asked:
+            if x not in compiled:
+                try:
+                    compiled[x] = re.compile(x, re.IGNORECASE)
+                except re.error:
+                    compiled[x] = None
+        usable = [compiled[x] for x in asked if compiled[x]]
         row = []
         for hunk in [] if found is None else found:
             shown = [x for x in hunk if x and x.strip()]
@@ -212,9 +211,9 @@ def rendered(found: Column, most: int = RENDERED) -> Column:
 def _first_holding(lines: pd.Series, bodies: pd.Series) -> pd.Series:
     out = []
     for found, body in zip(lines, bodies, strict=True):
-        form = quotes.normal(body or "")
+        form = normal(body or "")
         asked = (x.strip() for x in ([] if found is None else found) if x)
-        out.append(next((x for x in asked if len(x) >= 3 and quotes.held(quotes.normal(x), form)[0]), None))
+        out.append(next((x for x in asked if len(x) >= 3 and held(normal(x), form)[0]), None))
     return pd.Series(out, dtype=object)
 
 
