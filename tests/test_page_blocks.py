@@ -110,3 +110,10 @@ def test_in_spark(spark):
     found = page_blocks.with_page(df).select("page_id", page_blocks.page_text(F.col("page")).alias("text"), page_blocks.words(F.col("page")).alias("n"))
     assert sorted((r.page_id, len(r.text), r.n) for r in found.collect()) == [(1, 5, 3), (1, 5, 3), (2, 0, 0), (3, 99999, 50000)]
     assert page_blocks.with_page(df.limit(0)).count() == 0
+
+
+def test_references_count_with_a_semicolon():
+    page = "<html><head><title>R&amp;D &amp</title><link rel=canonical href='/x?a=1&copy=2&amp;b=3'></head><body><h1>A &amp; B &#38 C &lt;p&gt; &nosuch; &notit; D &amp</h1><script>a&b</script></body></html>"
+    assert texts(page) == ["A & B & C <p> &nosuch; &notit; D &amp"]
+    found = page_blocks.extract(page, "https://example.com/")
+    assert (found["title"], found["canonical_url"]) == ("R&D &amp", "https://example.com/x?a=1&copy=2&b=3")
