@@ -82,3 +82,16 @@ def test_rendering(spark):
     long = diff(spark, ["x"], [f"added line number {i}" for i in range(200)], most=200).text
     assert len(long) <= 200 and long.split("\n")[:3] == ["@@ 1 changed", "- x", "+ added line number 0"] and long.endswith("\n  … (hunk truncated)")
     assert diff(spark, ["x"], ["y"], most=20).text == "@@ 1 changed\n- x\n+ y"
+
+
+def test_versions_are_aligned_once_by_keys_alone(spark, tmp_path):
+    """Alignment in Python stands once in a plan, although hunks are exploded, and Python gets keys and no lines."""
+    rows = [(i, ["same", f"Updated on 2025-01-{i:02} x", "y", "z"], None if i == 3 else ["same", "Updated on 2026-02-01 x", f"new {i}", "z"]) for i in range(1, 9)]
+    spark.createDataFrame(rows, "i int, a array<string>, b array<string>").repartition(1).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    found = df.select("i", F.explode(diffing.hunks(diffing.keyed(F.col("a")), diffing.keyed(F.col("b")))).alias("h"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "AS line" not in plan
+    for r in found.collect():
+        expected = ("removed", rows[2][1], [], [], []) if r.i == 3 else ("changed", ["y"], [f"new {r.i}"], ["same", "Updated on 2026-02-01 x"], ["z"])
+        assert tuple(r.h) == expected

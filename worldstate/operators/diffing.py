@@ -16,17 +16,22 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import domain, text
 from ..functions.quotes import held, normal
 
 LINES = ArrayType(StringType())
-HUNKS = ArrayType(StructType([StructField("kind", StringType()), *(StructField(c, LINES) for c in ("before", "after", "context_before", "context_after"))]))
+#: A stretch that differs: its begin and size in the old and the new version, and begin and end of the new version's context.
+PLACES = ["i", "n_before", "k", "n_after", "low", "high"]
+STEPS = ArrayType(StructType([StructField("kind", StringType()), *(StructField(c, IntegerType()) for c in PLACES)]))
 #: Lines of context on either side; characters of a rendered diff and of a side in a note.
 CONTEXT, RENDERED, SHOWN = 2, 6000, 120
 #: Kinds of hunks by difflib's names, and the notes on noise.
@@ -34,38 +39,72 @@ KINDS = {"replace": "changed", "insert": "added", "delete": "removed"}
 NOTES = {"volatile": "volatile-only change (dates/times/ids)", "formatting": "formatting-only change (whitespace/punctuation/case)", "whitespace": "whitespace-only change", "rule": "matched suppression rule"}
 
 
-def keyed(lines: Column) -> Column:
-    """Lines as an array of (line, key), the key without volatile parts; dates outside notes of updates stay, and so does case."""
+class Keyed(NamedTuple):
+    """A version's lines, and their keys."""
+
+    lines: Column
+    keys: Column
+
+
+def keyed(lines: Column) -> Keyed:
+    """Lines with keys without volatile parts; dates outside notes of updates stay, and so does case."""
     key = lambda x: text.bound(text.squeeze(x), lambda s: text.mask_volatile(s, None))
-    return F.transform(lines, lambda x: F.struct(x.alias("line"), key(x).alias("key")))
+    return Keyed(lines, F.transform(lines, key))
 
 
-def masked_lines(s: Column) -> Column:
+def masked_lines(s: Column) -> Keyed:
     """The squeezed lines of a text that aren't empty, with keys."""
     return keyed(F.filter(F.transform(F.split(s, "\n"), text.squeeze), lambda x: x != ""))
 
 
-@F.pandas_udf(HUNKS)
-def _hunks(old: pd.Series, new: pd.Series, context: pd.Series) -> pd.Series:
-    out = []
-    for a, b, n in zip(old, new, context, strict=True):
-        a, b = ([] if x is None else list(x) for x in (a, b))
-        lines = [x["line"] for x in b]
-        steps = difflib.SequenceMatcher(None, [x["key"] for x in a], [x["key"] for x in b], autojunk=False).get_opcodes()
-        found = []
+def _lists(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's list begins and ends among all values, and the values; a null list is an empty one."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype("int64"), lists.flatten()
+
+
+@F.arrow_udf(STEPS)
+def _steps(old: pa.Array, new: pa.Array, context: pa.Array) -> pa.Array:
+    """Where two lists of keys differ, and how far the new one's context reaches. A batch's keys are numbers here: rows see no strings."""
+    (begins, left), (starts, right) = _lists(old), _lists(new)
+    numbers = pa.concat_arrays([left, right]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    ends, kinds, places = [0], [], []
+    for row in range(len(old)):
+        a = numbers[begins[row] : begins[row + 1]].tolist()
+        b = numbers[len(left) + starts[row] : len(left) + starts[row + 1]].tolist()
+        n = context[row].as_py()
+        steps = [s for s in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if s[0] != "equal"]
         # stretches that differ are never neighbours: what lies between two of them is alike and bounds the context of both
-        bounds = [0, *(m for kind, _, _, _, m in steps if kind != "equal")], [*(k for kind, _, _, k, _ in steps if kind != "equal"), len(b)]
-        for kind, i, j, k, m in steps:
-            if kind != "equal":
-                low, high = bounds[0][len(found)], bounds[1][len(found) + 1]
-                found.append({"kind": KINDS[kind], "before": [x["line"] for x in a[i:j]], "after": lines[k:m], "context_before": lines[max(low, k - n) : k], "context_after": lines[m : min(high, m + n)]})
-        out.append(found)
-    return pd.Series(out, dtype=object)
+        lows, highs = [0, *(s[4] for s in steps)], [*(s[3] for s in steps[1:]), len(b)]
+        for (kind, i, j, k, m), low, high in zip(steps, lows, highs):
+            kinds.append(KINDS[kind])
+            places.append((i, j - i, k, m - k, max(low, k - n), min(high, m + n)))
+        ends.append(len(kinds))
+    columns = np.array(places, dtype="int32").reshape(-1, len(PLACES)).T
+    fields = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), *(pa.array(c) for c in columns)], ["kind", *PLACES])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
+
+
+#: Spark would otherwise align twice: once more in a filter that it infers where hunks are exploded.
+_steps = _steps.asNondeterministic()
+
+
+def hunks(old: Keyed, new: Keyed, context: int = CONTEXT) -> Column:
+    """Stretches that differ by key, with the lines as they are and lines of the new version around them, up to the next hunk.
+
+    Only keys go to Python, and places come back, so that a worker holds an Arrow batch (of bounded bytes) and one row's numbers.
+    """
+    none = F.array().cast(LINES)
+    before, after = F.coalesce(old.lines, none), F.coalesce(new.lines, none)
+    steps = _steps(F.coalesce(old.keys, none), F.coalesce(new.keys, none), F.lit(context))
+    cut = lambda of, at, n: F.slice(of, at + 1, n)
 
+    def hunk(s: Column) -> Column:
+        end = s["k"] + s["n_after"]
+        sides = cut(before, s["i"], s["n_before"]).alias("before"), cut(after, s["k"], s["n_after"]).alias("after")
+        return F.struct(s["kind"].alias("kind"), *sides, cut(after, s["low"], s["k"] - s["low"]).alias("context_before"), cut(after, end, s["high"] - end).alias("context_after"))
 
-def hunks(old: Column, new: Column, context: int = CONTEXT) -> Column:
-    """Stretches that differ by key, with the lines as they are and lines of the new version around them, up to the next hunk."""
-    return _hunks(old, new, F.lit(context))
+    return F.transform(steps, hunk)
 
 
 def counts(found: Column) -> dict[str, Column]:
@@ -80,12 +119,12 @@ def changed_ratio(found: Column, n_old: Column, n_new: Column) -> Column:
     return (n["n_added"] + n["n_removed"]) / F.greatest(n_old + n_new, F.lit(1))
 
 
-@F.pandas_udf(LINES)
-def _rules(lines: pd.Series, patterns: pd.Series) -> pd.Series:
+@F.arrow_udf(LINES)
+def _rules(lines: pa.Array, patterns: pa.Array) -> pa.Array:
     """For each hunk's lines the first pattern that matches one of them, if every line matches some pattern."""
     out, compiled = [], {}
-    for found, known in zip(lines, patterns, strict=True):
-        asked = [x for x in ([] if known is None else known) if x is not None]
+    for found, known in ((x.as_py(), y.as_py()) for x, y in zip(lines, patterns, strict=True)):
+        asked = [x for x in known or [] if x is not None]
         for x in asked:
             if x not in compiled:
                 try:
@@ -94,12 +133,12 @@ def _rules(lines: pd.Series, patterns: pd.Series) -> pd.Series:
                     compiled[x] = None
         usable = [compiled[x] for x in asked if compiled[x]]
         row = []
-        for hunk in [] if found is None else found:
+        for hunk in found or []:
             shown = [x for x in hunk if x and x.strip()]
             all_match = bool(shown) and all(any(p.search(x) for p in usable) for x in shown)
             row.append(next(p.pattern for p in usable if any(p.search(x) for x in shown)) if all_match else None)
         out.append(row)
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def _alike(h: Column) -> Column:
@@ -207,14 +246,14 @@ def rendered(found: Column, most: int = RENDERED) -> Column:
     return F.when(F.size(found) == 0, "(no changes)").when(found.isNotNull(), text.bound(F.transform(found, block), whole))
 
 
-@F.pandas_udf(StringType())
-def _first_holding(lines: pd.Series, bodies: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _first_holding(lines: pa.Array, bodies: pa.Array) -> pa.Array:
     out = []
-    for found, body in zip(lines, bodies, strict=True):
+    for found, body in ((x.as_py(), y.as_py()) for x, y in zip(lines, bodies, strict=True)):
         form = normal(body or "")
-        asked = (x.strip() for x in ([] if found is None else found) if x)
+        asked = (x.strip() for x in found or [] if x)
         out.append(next((x for x in asked if len(x) >= 3 and held(normal(x), form)[0]), None))
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.string())
 
 
 def quote(found: Column, body: Column) -> Column:
