@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from worldstate.sources import html_tree, page_blocks
 
@@ -117,3 +118,12 @@ def test_references_count_with_a_semicolon():
     assert texts(page) == ["A & B & C <p> &nosuch; &notit; D &amp"]
     found = page_blocks.extract(page, "https://example.com/")
     assert (found["title"], found["canonical_url"]) == ("R&D &amp", "https://example.com/x?a=1&copy=2&b=3")
+
+
+def test_batches_give_a_page_a_row(spark):
+    """More pages than are Python's objects at a time, among them null ones; pages don't pass through pandas."""
+    rows = [(i, None if i % 7 == 0 else f"<head><title>t{i}</title></head><p>Text {i}</p>", None) for i in range(250)]
+    df = page_blocks.with_page(spark.createDataFrame(rows, "i int, html string, url string").repartition(1))
+    assert page_blocks.page.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    found = {r.i: r.page for r in df.collect()}
+    assert len(found) == 250 and all((p.title, [tuple(b) for b in p.blocks]) == ((None, []) if i % 7 == 0 else (f"t{i}", [(f"Text {i}", "paragraph")])) for i, p in found.items())
