@@ -58,3 +58,21 @@ def test_objects_in_noise(spark):
     df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(cases)], "i int, s string").repartition(30)
     got = {r.i: r.o for r in df.select("i", noisy_json.object_text(F.col("s")).alias("o")).collect()}
     assert {i: None if o is None else json.loads(o) for i, o in got.items()} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_names_with_a_common_beginning_meet_whole(spark, monkeypatch):
+    # pairs that meet on a stretch that all names begin with would be compared one by one
+    entities = spark.range(400).select("id", F.format_string("Supplier#%09d", "id").alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(0).alias("place"))
+    asked = spark.range(400).select(F.col("id").alias("row"), F.format_string("The supplier#%09d Ltd", "id").alias("name"))
+    monkeypatch.setattr(resolving.F, "contains", lambda a, b: F.raise_error(F.concat(F.lit("compared: "), a, F.lit(", "), b)).cast("boolean"))
+    found = resolving.resolve(asked, entities)
+    assert found.where("entity_id = row and leg = 'part'").count() == 400
+
+
+def test_names_longer_than_a_stretch(spark):
+    long = "x" * 70
+    entities = [(1, long + "one", [], 0), (2, long + "two and more", None, 1), (3, "y" * 64, None, 2)]
+    asked = ["so " + long + "one ltd", long + "two", "y" * 65, "x" * 64, long + "three"]
+    found = resolving.resolve(spark.createDataFrame([(x,) for x in asked], "name string"), spark.createDataFrame(entities, "id int, name string, aliases array<string>, place int")).collect()
+    rows = [("t", *e) for e in entities]
+    assert {(r.name, r.entity_id, r.leg) for r in found} == {(x, *plainly(x, "t", rows)) for x in asked}

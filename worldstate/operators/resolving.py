@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import quotes
 
 #: Characters by which names and the names in them meet; shorter names meet whole.
-GRAM = 12
+GRAM = 64
 
 
-def _pieces(s: Column) -> Column:
-    """Every stretch of up to GRAM characters, once; the empty one, too."""
+def _pieces(s: Column, lengths: Column) -> Column:
+    """Every stretch of s of one of these lengths, once; the empty one, too."""
     of = lambda k: F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: s.substr(i, k))
-    every = F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.when(F.length(s) >= k, of(k)).otherwise(F.array().cast("array<string>")))
+    every = F.transform(F.filter(lengths, lambda k: (k > 0) & (k <= F.length(s))), of)
     return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(every)))
 
 
+def _lengths(names: DataFrame, name: str) -> DataFrame:
+    """The lengths, up to GRAM, at which names can be met: one row of GRAM + 1 numbers at most."""
+    return F.broadcast(names.agg(F.collect_set(F.least(F.length(name), F.lit(GRAM))).alias("_lengths")))
+
+
 def resolve(asked: DataFrame, entities: DataFrame, name: str = "name", within: tuple[str, ...] = ()) -> DataFrame:
     """Rows of asked with entity_id and leg: exact (a name or alias is the same), part (one name holds the other), or null.
 
@@ -27,8 +32,8 @@ def resolve(asked: DataFrame, entities: DataFrame, name: str = "name", within: t
     a name can only be met by an alias.
 
     No pair is tried that has nothing in common: an entity's first GRAM characters meet those stretches of the names asked, and the
-    other way round. What is shorter than that needs no look at the names, so for every stretch only its first entity is kept
-    before the join. Each different name is resolved once.
+    other way round, by stretches of those lengths alone that the other side has. What is shorter than that meets whole and needs no
+    look at the names, so for every stretch only its first entity is kept before the join. Each different name is resolved once.
     """
     names = asked.select(*within, name).where(F.col(name) != "").distinct().withColumn("_n", quotes.normal_form(F.col(name)))
     keys = names.select(*within, "_n").distinct()
@@ -40,8 +45,9 @@ def resolve(asked: DataFrame, entities: DataFrame, name: str = "name", within: t
     named = known.withColumn("_en", quotes.normal_form(F.col("_name"))).where("_en <> ''").groupBy(*within, "_en").agg(first)
 
     begins = named.withColumn("_g", F.left("_en", F.lit(GRAM)))
-    holding = keys.withColumn("_g", F.explode(_pieces(F.col("_n")))).join(begins, [*within, "_g"]).where((F.length("_en") <= GRAM) | F.contains("_n", "_en"))
-    stretches = named.withColumn("_g", F.explode(_pieces(F.col("_en"))))
+    pieces = lambda df, x, others, y: df.crossJoin(_lengths(others, y)).withColumn("_g", F.explode(_pieces(F.col(x), F.col("_lengths")))).drop("_lengths")
+    holding = pieces(keys, "_n", named, "_en").join(begins, [*within, "_g"]).where((F.length("_en") <= GRAM) | F.contains("_n", "_en"))
+    stretches = pieces(named, "_en", keys, "_n")
     short = keys.where(F.length("_n") <= GRAM).join(stretches.groupBy(*within, F.col("_g").alias("_n")).agg(first), [*within, "_n"])
     long = keys.where(F.length("_n") > GRAM).withColumn("_g", F.left("_n", F.lit(GRAM))).join(stretches.where(F.length("_g") == GRAM), [*within, "_g"]).where(F.contains("_en", "_n"))
     part = holding.select(*within, "_n", "_e").unionByName(short.select(*within, "_n", "_e")).unionByName(long.select(*within, "_n", "_e")).groupBy(*within, "_n").agg(first)
