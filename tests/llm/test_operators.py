@@ -401,3 +401,13 @@ def test_packing_does_not_follow_arrow_batches(spark):
     cut = [b.column("x").to_pylist() for b in best_fit_packing.islands_of(iter(batches), 5)]
     assert cut == [[*range(k, k + 5)] for k in range(0, 20, 5)]
     assert [b.num_rows for b in best_fit_packing.islands_of(iter(batches[:2]), 5)] == [5, 5, 3]
+
+
+def test_ngram_jaccard_counts_tokens_before_rows_move(spark, monkeypatch):
+    plans, stored = {}, common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name, **k: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and stored(df, name, **k))
+    rows = [(k, f"a b c d e f g h i j k l m n o p q r s t u v w x y z w{k % 3}") for k in range(12)] + [(99, "alone")]
+    got = ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: 0 if k < 99 else k for k, _ in rows}
+    # the shuffle that counts tokens is over, and its files gone, when the postings' one begins
+    assert "Aggregate" not in plans["several"] and "Aggregate" in plans["tokens"]

@@ -217,8 +217,10 @@ def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc
     postings = common.stored(prefixes(sets, bucket_counts(scanned), percent), "postings", clean=True)
     # most tokens occur once, or are indexed nowhere: they leave by a count of the bare tokens, before any wider row moves
     several = postings.groupBy("token").agg(F.count("*").alias("c"), F.max("indexed").alias("i")).where("c > 1 and i").select("token")
+    # stored by itself, so that the tokens' shuffle is gone before that of the wider rows begins
+    several = common.stored(several, "tokens", clean=True)
     often = common.stored(postings.join(several, "token", "left_semi"), "several", clean=True)
-    common.forget(postings)
+    common.forget(postings, several)
     met = common.stored(often.join(reps, "key", "left_semi").distinct(), "met", clean=True)
     common.forget(often)
 
