@@ -411,3 +411,20 @@ def test_ngram_jaccard_counts_tokens_before_rows_move(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {k: 0 if k < 99 else k for k, _ in rows}
     # the shuffle that counts tokens is over, and its files gone, when the postings' one begins
     assert "Aggregate" not in plans["several"] and "Aggregate" in plans["tokens"]
+
+
+def test_byte_bpe_takes_the_ids_of_rare_words_from_joints(spark):
+    """A word that no text has twice, of ids that stand together in folded words, is not folded in its row; white space of any kind, cut in Arrow."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    frequent = [x for x in (" thestion", " stionand", " andre") for _ in range(3)]
+    joints = byte_bpe.Joints((tuple(library.encode_ordinary(x)) for x in frequent), ranks)
+    assert joints.find(b" thestionand") == library.encode_ordinary(" thestionand")
+    assert joints.find(b" qqq") is None and byte_bpe.Joints(iter(()), ranks).find(b"a") is None
+    rng = random.Random(5)
+    texts = ["", " ", None, "a\0b \0 c", "a\u00a0 b \u2003 c\t d", " \x85 x\x1c y ", "".join(frequent) + " thestionand qqqzx"]
+    texts += ["".join(rng.choice(["th", "e", "st", "ion", "and", "re", " ", " ", "\n", "\u3000", "\0", "é"]) for _ in range(80)) for _ in range(200)]
+    out = byte_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), path, known=150)
+    for r in out.collect():
+        assert list(r.ids) == library.encode_ordinary(texts[r.doc_id] or ""), repr(texts[r.doc_id])

@@ -9,9 +9,13 @@ rank map is a literal of hash buckets, each a string of pairs with what they bec
    pattern alone). These pieces are counted over all texts, distinct pieces are cut into words, and the counts of the
    words are added up. The `known` most frequent distinct words are folded once, by Spark's expressions: a dictionary
    whose size does not depend on the corpus.
-2. Arrow functions cut texts again and look their words up; what a task has found for a piece it remembers. Words beyond
-   the dictionary leave a place in the ids (a negative number) and are folded in the text's row by the same expressions.
-3. Decoding looks up each id's bytes in a literal and concatenates them.
+2. Two ids that stand together in a folded word are a joint: the fold of their bytes gives these two. A row of ids of which
+   all neighbours are joints is the fold of its bytes: the first merge across a border would also be the first one
+   across it in the fold of the two ids at that border. So there is one such row at most, however it is found.
+3. Arrow functions cut texts again and look their words up, those beyond the dictionary as rows of joints; what a worker has
+   found for a piece it remembers. Words that no joints make up are left open between runs of ids, and are folded in
+   the text's row by the same expressions.
+4. Decoding looks up each id's bytes in a literal and concatenates them.
 
 No step shuffles texts or ids; only partial counts move. The fold takes quadratic time in a word, so words of over
 LONG_WORD bytes are merged with a heap where the text is cut: the same ids by another path.
@@ -27,10 +31,12 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +48,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 KNOWN, KNOWN_BYTES = 1 << 18, 48
 BUCKETS = 1 << 17
 LONG_WORD = 1024
-#: Distinct pieces that a task counts before it passes them on, and whose ids it remembers.
-HELD, REMEMBERED = 500_000, 1 << 18
+#: Distinct pieces whose ids a worker remembers; bytes of texts that are cut at once, or one text.
+REMEMBERED, AT_ONCE = 1 << 18, 1 << 24
+#: Ids that a search for a row of joints takes back before it leaves the word open.
+TAKEN_BACK = 64
 #: Ids as characters start here; no pair; what stands between a pair and what it becomes.
 FIRST, NONE, BECOMES = 256, "\uffff", "\ufffe"
 
@@ -62,19 +70,18 @@ def _rank(letter: str) -> int:
     return ord(letter) - FIRST - (0x800 if letter >= "\ue000" else 0)
 
 
-def pair_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+def pair_table(ranks: dict[bytes, int]) -> Column:
     """Buckets of (two ids as characters, the id of both together), by the hash of the two."""
     if max(ranks.values()) + FIRST + 0x800 >= ord(NONE):
         raise ValueError("ids don't fit in the basic plane")
-    pairs = []
+    buckets = [NONE + NONE] * BUCKETS
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
-                pairs.append((_letter(left) + _letter(right), _letter(rank)))
-    buckets = [NONE + NONE] * BUCKETS
-    for pair, merged, b in spark.createDataFrame(pairs, "pair string, merged string").select("pair", "merged", F.xxhash64("pair").bitwiseAND(F.lit(BUCKETS - 1))).collect():
-        buckets[b] += pair + BECOMES + merged + NONE
+                pair = _letter(left) + _letter(right)
+                # the hash of Spark's xxhash64
+                buckets[xxhash.xxh64_intdigest(pair.encode(), 42) & (BUCKETS - 1)] += pair + BECOMES + _letter(rank) + NONE
     return F.split(F.lit(" ".join(buckets)), " ")
 
 
@@ -139,20 +146,82 @@ class Cutter:
         first, *rest = text.split(" ")
         return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
 
+    def all_pieces(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Where each text's pieces end, after a 0, and the pieces of all texts, as bytes. An empty piece may stand first in a text."""
+        texts = pc.fill_null(texts, "")
+        # white space of any kind before a blank is rare, so these texts are cut by themselves
+        odd = pc.match_substring_regex(texts, r"[\pZ\t-\r\x1c-\x1f\x{85}] ")
+        # a byte that UTF-8 doesn't have stands between pieces
+        marked = pc.replace_substring(texts.cast(pa.large_binary()), b" ", b"\xff ")
+        if pc.any(odd).as_py():
+            own = [b"\xff".join(x.encode() for x in self.pieces(text)) for text in texts.filter(odd).to_pylist()]
+            marked = pc.replace_with_mask(marked, odd, pa.array(own, pa.large_binary()))
+        lists = pc.split_pattern(marked, b"\xff")
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return ends, lists.flatten()
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of AT_ONCE bytes of texts, by the mean length of a batch's texts."""
+    for batch in batches:
+        size = max(1, batch.num_rows * AT_ONCE // max(batch.column(text).nbytes, 1))
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
+def as_str(pieces: pa.Array) -> list[str]:
+    return pieces.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+
+
+class Joints:
+    """Finds the ids of a word's bytes as a row of which all neighbours stand together in folded words, too."""
+
+    def __init__(self, folded: Iterator[tuple[int, ...]], ranks: dict[bytes, int]) -> None:
+        piece = {rank: x for x, rank in ranks.items()}
+        self.after: dict[int, dict[bytes, int]] = {}
+        for ids in folded:
+            for i in ids:
+                self.after.setdefault(i, {})
+            for i, k in pairwise(ids):
+                self.after[i][piece[k]] = k
+        self.first = {piece[i]: i for i in self.after}
+        self.longest = max(map(len, self.first), default=0)
+
+    def find(self, raw: bytes) -> list[int] | None:
+        """Longer ids first; where none goes on, the last one taken becomes a shorter one. None: not found."""
+        after, n, longest = self.after, len(raw), self.longest
+        out, starts, at, back, follow, top = [], [], 0, 0, self.first, min(n, longest)
+        while at < n:
+            while top > at and (i := follow.get(raw[at:top])) is None:
+                top -= 1
+            if top > at:
+                out.append(i)
+                starts.append(at)
+                at, follow, top = top, after[i], min(n, top + longest)
+            elif not out or back == TAKEN_BACK:
+                return None
+            else:
+                back += 1
+                out.pop()
+                at, top = starts.pop(), at - 1
+                follow = after[out[-1]] if out else self.first
+        return out
+
 
 class Lookup(dict):
-    """Ids of pieces, as tuples. Words that are not known get negative numbers and stand in `open`, which a text begins anew."""
+    """Ids of pieces, as tuples. -k stands for the k-th of `open`, words that are not known; a batch begins it anew."""
 
-    def __init__(self, cutter: Cutter, known: dict[str, tuple[int, ...]], ranks: dict[bytes, int]) -> None:
+    def __init__(self, known: dict[str, tuple[int, ...]], ranks: dict[bytes, int]) -> None:
         super().__init__()
-        self.cutter, self.known, self.ranks, self.open = cutter, known, ranks, []
+        self.cutter, self.known, self.ranks, self.joints, self.open = Cutter(), known, ranks, Joints(iter(known.values()), ranks), []
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         out, new = [], len(self.open)
         for word in self.cutter.words(piece):
             ids = self.known.get(word)
-            if ids is None and len(word) > LONG_WORD // 4 and len(raw := word.encode()) > LONG_WORD:
-                ids = heap_encode(raw, self.ranks)
+            if ids is None:
+                raw = word.encode()
+                ids = heap_encode(raw, self.ranks) if len(raw) > LONG_WORD else self.joints.find(raw)
             if ids is None:
                 self.open.append(word)
                 out.append(-len(self.open))
@@ -166,26 +235,45 @@ class Lookup(dict):
         return found
 
 
-def look_up(df: DataFrame, text: str, known: dict[str, str], ranks: dict[bytes, int]) -> DataFrame:
-    """df with _ids array<int>, in which -k stands for the k-th word of _open array<string>."""
+def lookup_of(shared: dict) -> Lookup:
+    """The Lookup that a worker makes once of what it was sent, and keeps there: words (a table), ranks."""
+    if "lookup" not in shared:
+        words = shared["words"]
+        letters = zip(words.column("word").to_pylist(), words.column("letters").to_pylist(), strict=True)
+        shared["lookup"] = Lookup({word: tuple(map(_rank, x)) for word, x in letters}, shared["ranks"])
+    return shared["lookup"]
+
+
+def look_up(df: DataFrame, text: str, known: pa.Table, ranks: dict[bytes, int]) -> DataFrame:
+    """df with _open array<string>, a text's open words, and _runs array<array<int>>, the ids before, between and behind them."""
     spark, columns = df.sparkSession, df.columns
-    shared = spark.sparkContext.broadcast((known, ranks))
+    shared = spark.sparkContext.broadcast({"words": known, "ranks": ranks})
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, by_bytes = shared.value
-        cutter = Cutter()
-        ids = Lookup(cutter, {word: tuple(map(_rank, x)) for word, x in letters.items()}, by_bytes)
-        for batch in batches:
-            rows, opened, ends = [], [], [0]
-            for whole in batch.column(text).to_pylist():
-                ids.open = []
-                rows.append(np.fromiter(chain.from_iterable(map(ids.__getitem__, cutter.pieces(whole or ""))), dtype=np.int32))
-                ends.append(ends[-1] + len(rows[-1]))
-                opened.append(ids.open)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(opened, pa.list_(pa.string()))], names=[*columns, "_ids", "_open"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_ids array<int>, _open array<string>"])
+        ids = lookup_of(shared.value)
+        for batch in slices(batches, text):
+            ids.open = []
+            ends, pieces = ids.cutter.all_pieces(batch.column(text))
+            pieces = pieces.dictionary_encode()
+            each = [*map(ids.__getitem__, as_str(pieces.dictionary))]
+            codes, sizes = pieces.indices.to_numpy(), np.fromiter(map(len, each), np.int64, len(each))
+            starts, each = np.cumsum(sizes) - sizes, np.fromiter(chain.from_iterable(each), np.int32)
+            sizes = sizes[codes]
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            places = np.repeat(starts[codes] - before[:-1], sizes)
+            places += np.arange(before[-1])
+            flat = each[places]
+            ends = before[ends]
+            gaps = np.flatnonzero(flat < 0)
+            opened = np.searchsorted(gaps, ends)
+            # a run ends at each open word and at the end of its text; places count without open words
+            stops = np.sort(np.concatenate([gaps - np.arange(len(gaps)), (ends - opened)[1:]]))
+            runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(flat[flat >= 0]))
+            runs = pa.ListArray.from_arrays(pa.array(opened + np.arange(len(ends)), pa.int32()), runs)
+            words = pa.ListArray.from_arrays(pa.array(opened, pa.int32()), pa.array(ids.open, pa.string()).take(pa.array(-1 - flat[gaps])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, runs, words], names=[*columns, "_runs", "_open"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_runs array<array<int>>, _open array<string>"])
     return df.mapInArrow(found, schema)
 
 
@@ -215,16 +303,10 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     """(word, n) of all texts' words of less than KNOWN_BYTES."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = Cutter(), Counter()
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array([*seen.keys()], pa.string()), pa.array([*seen.values()], pa.int64())], names=["piece", "n"])
-        for batch in batches:
-            for whole in batch.column("text").to_pylist():
-                seen.update(cutter.pieces(whole or ""))
-                if len(seen) > HELD:
-                    yield rows()
-                    seen.clear()
-        if seen:
-            yield rows()
+        cutter = Cutter()
+        for batch in slices(batches, "text"):
+            counts = cutter.all_pieces(batch.column("text"))[1].value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field(0).cast(pa.string()), counts.field(1)], names=["piece", "n"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter()
@@ -240,8 +322,8 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     return words.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def dictionary(df: DataFrame, text: str, ranks: dict[bytes, int], known: int = KNOWN) -> dict[str, str]:
-    """The most frequent words of all texts, `known` at most, with their ids as characters."""
+def dictionary(df: DataFrame, text: str, ranks: dict[bytes, int], pairs: Column, known: int = KNOWN) -> pa.Table:
+    """The most frequent words of all texts, `known` at most, with their ids as characters (word, letters)."""
     spark = df.sparkSession
     found = common.stored(word_counts(df, text), "words")
     # the least count that leaves few enough: exact below 1024, in small steps above, so a few thousand numbers
@@ -253,26 +335,25 @@ def dictionary(df: DataFrame, text: str, ranks: dict[bytes, int], known: int = K
             break
         least = at
     top = found.where(level >= least).select("word").repartition(2 * spark.sparkContext.defaultParallelism, "word")
-    letters = common.let(F.col("word"), lambda w: common.let(pair_table(spark, ranks), lambda p: fold(w, p, ranks)))
+    letters = common.let(F.col("word"), lambda w: common.let(pairs, lambda p: fold(w, p, ranks)))
     rows = top.select("word", letters.alias("letters")).toArrow()
     common.forget(found)
-    return dict(zip(rows.column("word").to_pylist(), rows.column("letters").to_pylist(), strict=True))
+    return rows
 
 
 def encode(df: DataFrame, path: str, text: str = "text", known: int = KNOWN) -> DataFrame:
     """df with ids array<int>, the ids of each whole text by the ranks of a tiktoken file."""
-    ranks, spark, df = read_ranks(path), df.sparkSession, df.drop("ids")
-    found = look_up(df, text, dictionary(df, text, ranks, known), ranks)
+    ranks, df = read_ranks(path), df.drop("ids")
+    pairs = pair_table(ranks)
+    found = look_up(df, text, dictionary(df, text, ranks, pairs, known), ranks)
 
     def filled(open_: Column) -> Column:
-        def with_pairs(pairs: Column) -> Column:
-            folded = F.transform(open_, lambda w: as_ids(fold(w, pairs, ranks)))
-            return common.let(folded, lambda x: F.flatten(F.transform(F.col("_ids"), lambda i: F.when(i < 0, F.get(x, -i - 1)).otherwise(F.array(i)))))
-
-        return common.let(pair_table(spark, ranks), with_pairs)
+        folded = common.let(pairs, lambda p: F.transform(open_, lambda w: as_ids(fold(w, p, ranks))))
+        # the last run has no open word behind it
+        return F.flatten(F.zip_with("_runs", folded, lambda run, word: F.when(word.isNull(), run).otherwise(F.concat(run, word))))
 
-    ids = F.when(F.size("_open") == 0, F.col("_ids")).otherwise(common.let(F.col("_open"), filled))
-    return found.withColumn("ids", ids).drop("_ids", "_open")
+    ids = F.when(F.size("_open") == 0, F.get("_runs", F.lit(0))).otherwise(common.let(F.col("_open"), filled))
+    return found.withColumn("ids", ids).drop("_runs", "_open")
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
