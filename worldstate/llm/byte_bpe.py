@@ -49,7 +49,7 @@ KNOWN, KNOWN_BYTES = 1 << 18, 48
 BUCKETS = 1 << 17
 LONG_WORD = 1024
 #: Distinct pieces whose ids a worker remembers; bytes of texts that are cut at once, or one text.
-REMEMBERED, AT_ONCE = 1 << 18, 1 << 24
+REMEMBERED, AT_ONCE = 1 << 17, 1 << 23
 #: Ids that a search for a row of joints takes back before it leaves the word open.
 TAKEN_BACK = 64
 #: Ids as characters start here; no pair; what stands between a pair and what it becomes.
