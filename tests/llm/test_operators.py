@@ -428,3 +428,13 @@ def test_byte_bpe_takes_the_ids_of_rare_words_from_joints(spark):
     out = byte_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), path, known=150)
     for r in out.collect():
         assert list(r.ids) == library.encode_ordinary(texts[r.doc_id] or ""), repr(texts[r.doc_id])
+
+
+def test_ngram_jaccard_moves_sets_once_and_postings_in_slices(spark, monkeypatch):
+    plans, stored = {}, common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name, **k: plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, name, **k))
+    rows = [(k, f"a b c d e f g h i j k l m n o p q r s t u v w x y z w{k % 3}") for k in range(12)] + [(99, "alone")]
+    got = ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: 0 if k < 99 else k for k, _ in rows}
+    assert len(plans["several"]) == ngram_jaccard.SLICES
+    assert "strategy=broadcast" in plans["near-0-links"][0]

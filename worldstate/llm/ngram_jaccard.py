@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ from . import common, links
 BUCKETS, CHUNK = 1 << 20, 1 << 12
 #: Row keys that are broadcast at most, of 8 bytes each.
 BROADCAST_IDS = 2_000_000
+#: Slices of the tokens, whose postings move one after the other.
+SLICES = 4
 #: What a candidate pair costs to verify, in rows of the join that finds it; a posting costs one, too.
 PAIR_COST = 2
 #: Rounds of neighbours before all pairs between components are made, and how many of them each has.
@@ -157,7 +160,9 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str)
     sets = texts.join(side, "key", "left_semi").dropDuplicates(["key"]).select("key", shingles(F.col("t"), n).alias("s"))
     sets = common.stored(sets, f"{name}-sets", clean=True)
     left, right = sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
-    both = pairs.join(left, "b").join(right, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    # pairs of a checked number are broadcast, so that sets move once, for the other side
+    few = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS // 2 else pairs
+    both = few.join(left, "b").join(right, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     linked = both.where(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
     linked = common.stored(linked, f"{name}-links", clean=True)
     common.forget(pairs, wanted, sets)
@@ -219,10 +224,12 @@ def linked_rows(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc
     several = postings.groupBy("token").agg(F.count("*").alias("c"), F.max("indexed").alias("i")).where("c > 1 and i").select("token")
     # stored by itself, so that the tokens' shuffle is gone before that of the wider rows begins
     several = common.stored(several, "tokens", clean=True)
-    often = common.stored(postings.join(several, "token", "left_semi"), "several", clean=True)
+    # a slice's shuffle is gone before the next one's begins
+    part = F.pmod("token", F.lit(SLICES))
+    often = [common.stored(postings.where(part == k).join(several.where(part == k), "token", "left_semi"), "several", clean=True) for k in range(SLICES)]
     common.forget(postings, several)
-    met = common.stored(often.join(reps, "key", "left_semi").distinct(), "met", clean=True)
-    common.forget(often)
+    met = common.stored(reduce(DataFrame.unionByName, often).join(reps, "key", "left_semi").distinct(), "met", clean=True)
+    common.forget(*often)
 
     edges, near, left = None, None, met
     for turn in range(ROUNDS + 1):
